@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, packing
+from tessella.llm import bpe, moderation, packing
 from tessella.runtime import table
 
 
@@ -21,5 +21,23 @@ def p7_fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_rates(p7_packed(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_packed, p7_fill_rates)}
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = moderation.fit_model(table(spark, sf_dir, "moderation_examples"), moderation.background_words(documents))
+    return moderation.score_texts(documents, model, extra=("source",))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("score >= 0.5").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moderation.source_rates(_scored(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_packed, p7_fill_rates, p8_found, p8_scores, p8_source_rates)}
 ORACLES: dict[str, str] = {}
