@@ -3,11 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import bpe, moderation, packing
+from tessella.llm import bpe, clustering, moderation, packing
 from tessella.runtime import table
 
 
+DIMS = [f"dim_{i}" for i in range(1, 6)]
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, rows = clustering.fit(table(spark, sf_dir, "blobs"), "point_id", dict.fromkeys(DIMS, 1.0))
+    return clustering.assignments(rows, clusters, "point_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probed pairs whose rows are in the same group."""
+    groups = _clustered(spark, sf_dir).where("group_no is not null").select("point_id", "group_no")
+    probes = table(spark, sf_dir, "similarity_probes").select("point_a", "point_b")
+    a = groups.select(F.col("point_id").alias("point_a"), F.col("group_no").alias("group_a"))
+    b = groups.select(F.col("point_id").alias("point_b"), F.col("group_no").alias("group_b"))
+    return probes.join(a, "point_a").join(b, "point_b").where("group_a = group_b").select("point_a", "point_b").distinct()
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.describe(_clustered(spark, sf_dir).persist(), "point_id")
+
+
+def p3_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clustered(spark, sf_dir)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -39,5 +65,5 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.source_rates(_scored(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_packed, p7_fill_rates, p8_found, p8_scores, p8_source_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_assignments, p6_ids, p7_packed, p7_fill_rates, p8_found, p8_scores, p8_source_rates)}
 ORACLES: dict[str, str] = {}
