@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, clustering, moderation, packing
+from tessella.llm import bpe, clustering, moderation, neighbours, packing
 from tessella.runtime import table
 
 
@@ -34,6 +34,14 @@ def p3_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir)
 
 
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_rows(table(spark, sf_dir, "blobs"), "point_id", DIMS)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_pairs(p5_neighbours(spark, sf_dir), "point_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -65,5 +73,5 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.source_rates(_scored(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_assignments, p6_ids, p7_packed, p7_fill_rates, p8_found, p8_scores, p8_source_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_assignments, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill_rates, p8_found, p8_scores, p8_source_rates)}
 ORACLES: dict[str, str] = {}
