@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, clustering, moderation, neighbours, packing
+from tessella.llm import bpe, calibrated, clustering, moderation, neighbours, packing
 from tessella.runtime import table
 
 
@@ -34,6 +34,25 @@ def p3_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir)
 
 
+def _sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return calibrated.calibrated_sample(*(table(spark, sf_dir, t) for t in ("penguins", "sample_infos", "sample_targets")))
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, sf_dir)[0]
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target with the rows drawn, the share reached and whether it could not be met."""
+    drawn, solved = _sampled(spark, sf_dir)
+    got = drawn.groupBy("sample_id", "category").agg(F.count("*").alias("drawn"))
+    return solved.join(got, ["sample_id", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).drop("probability", "seed")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, sf_dir)[1].where("unmet").select("sample_id", "species")
+
+
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_rows(table(spark, sf_dir, "blobs"), "point_id", DIMS)
 
@@ -73,5 +92,5 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.source_rates(_scored(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_assignments, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill_rates, p8_found, p8_scores, p8_source_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_assignments, p4_found, p4_sample, p4_report, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill_rates, p8_found, p8_scores, p8_source_rates)}
 ORACLES: dict[str, str] = {}
