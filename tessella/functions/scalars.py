@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 BOOLEAN_WORDS = ["true", "yes", "y", "false", "no", "n"]
 DATE_PATTERN = r"(?i)^\d{4}-\d{2}-\d{2}(t\d{2}:\d{2}(:\d{2})?(\.\d+)?z?)?$"
 DECIMAL_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-BLANKS = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+BLANKS = " \t\n\r\f\v\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 RADIX = {"x": 16, "o": 8, "b": 2}
+RADIX_PATTERN = r"^0([xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)$"
 GOLDEN_STEP = 1831565813
 WORD = 4294967296
 MASS_LOW, MASS_HIGH = 0.5, 2.0
@@ -25,17 +26,15 @@ BUDGETS = {"webgpu": 50000, "webgl2": 2000, "static": 2000}
 
 def blank_to_null(c: Column) -> Column:
     """Trims every kind of blank, byte-order marks included; what is empty then is null."""
-    return F.nullif(F.regexp_replace(c, f"^{BLANKS}+|{BLANKS}+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit(""))
 
 
 def parse_number(c: Column) -> Column:
     """Decimal, exponent, hexadecimal, octal and binary texts as doubles; all else and what overflows is null."""
     t = blank_to_null(c)
-    decimal = F.when(t.rlike(DECIMAL_PATTERN), t.try_cast("double"))
-    digits = {"x": "0-9a-fA-F", "o": "0-7", "b": "01"}
-    out = decimal
-    for mark, base in RADIX.items():
-        out = F.when(t.rlike(f"^0[{mark}{mark.upper()}][{digits[mark]}]+$"), F.conv(F.substring(t, 3, 64), base, 10).try_cast("double")).otherwise(out)
+    base = F.when(t.rlike(RADIX_PATTERN), F.create_map(*[F.lit(x) for kv in RADIX.items() for x in kv])[F.lower(F.substring(t, 2, 1))])
+    whole = F.call_function("conv", F.substring(t, 3, 64), base, F.lit(10)).try_cast("double")
+    out = F.when(t.rlike(DECIMAL_PATTERN), t.try_cast("double")).when(t.startswith("0"), whole)
     return F.when(F.abs(out) < float("inf"), out)
 
 
@@ -70,7 +69,7 @@ def _word_product(a: Column, b: Column) -> Column:
 
 def uniform(seed: Column, draw: Column) -> Column:
     """The ``draw``-th number (from 1) in [0, 1) of the stream ``seed``; any draw can be computed on its own."""
-    first = (seed.cast("long") + draw.cast("long") * GOLDEN_STEP) % WORD
+    first = (seed.cast("long") + F.pmod(draw.cast("long"), F.lit(WORD)) * GOLDEN_STEP) % WORD
     fold = lambda t, shift, mark: _word_product(t.bitwiseXOR(F.shiftright(t, shift)), t.bitwiseOR(F.lit(mark)))
     t = _bind(first, lambda a: fold(a, 15, 1))
     t = _bind(t, lambda t: ((t + fold(t, 7, 61)) % WORD).bitwiseXOR(t))

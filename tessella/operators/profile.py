@@ -17,32 +17,38 @@ STRATEGY = "median-rank"
 FORCE_ROLES = ["mass", "charge", "attraction", "viscosity", "spring-anchor"]
 
 
-def as_text(df: DataFrame) -> DataFrame:
-    """All columns as nullable texts; blanks are null."""
-    return df.select(*[F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
+WHOLE, REAL = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
 
 
 def melt(df: DataFrame) -> DataFrame:
-    """(ordinal, name, value) of every cell."""
-    t = as_text(df)
-    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(t.columns)])
-    return t.select(F.explode(cells).alias("c")).select("c.*")
+    """(ordinal, name, whole, real, value) of every cell: numbers stay numbers, all else is text; blanks are null."""
+    def cell(i: int, c: str, kind: str) -> Column:
+        x = F.col(f"`{c}`")
+        text = x.cast("string")
+        return F.struct(
+            F.lit(i).alias("ordinal"), F.lit(c).alias("name"), (x.cast("long") if kind in WHOLE else F.lit(None).cast("long")).alias("whole"),
+            (F.when(~F.isnan(x), x.cast("double")) if kind in REAL else F.lit(None).cast("double")).alias("real"),
+            (F.lit(None).cast("string") if kind in WHOLE + REAL else F.when(F.trim(text) != "", text)).alias("value"),
+        )
+    return df.select(F.explode(F.array(*[cell(i, c, k) for i, (c, k) in enumerate(df.dtypes)])).alias("c")).select("c.*")
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Per column: non-null, missing, exact distinct, numeric moments, and the tests that type inference needs."""
-    per_value = melt(df).groupBy("ordinal", "name", "value").agg(F.count("*").alias("n"))
-    x = parse_number(F.col("value"))
-    known = F.col("value").isNotNull()
+    """Per column: non-null, missing, exact distinct, numeric moments, and the tests that type inference needs.
+
+    Text tests run once per distinct value, not per cell."""
+    per_value = melt(df).groupBy("ordinal", "name", "whole", "real", "value").agg(F.count("*").alias("n"))
     n = F.col("n")
-    rated = per_value.withColumn("x", x)
+    known = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("value").isNotNull()
+    x = F.coalesce(F.col("whole").cast("double"), F.when(F.abs("real") < float("inf"), F.col("real")), parse_number(F.col("value")))
+    rated = per_value.withColumn("x", x).persist()
     base = rated.groupBy("ordinal", "name").agg(
         F.coalesce(F.sum(F.when(known, n)), F.lit(0)).alias("non_null"),
         F.coalesce(F.sum(F.when(~known, n)), F.lit(0)).alias("missing"),
         F.count_if(known).alias("distinct_count"),
         F.coalesce(F.sum(F.when(F.col("x").isNotNull(), n)), F.lit(0)).alias("numeric_count"),
-        F.bool_and(F.when(known, is_boolean_text(F.col("value")))).alias("all_boolean"),
-        F.bool_and(F.when(known, is_date_text(F.col("value")))).alias("all_date"),
+        F.bool_and(F.when(known, F.coalesce(is_boolean_text(F.col("value")), F.lit(False)))).alias("all_boolean"),
+        F.bool_and(F.when(known, F.coalesce(is_date_text(F.col("value")), F.lit(False)))).alias("all_date"),
         F.sum(F.col("x") * n).alias("sx"), F.min("x").alias("min"), F.max("x").alias("max"),
     )
     mean = F.col("sx") / F.col("numeric_count")

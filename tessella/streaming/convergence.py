@@ -24,7 +24,7 @@ def detect(stream: DataFrame) -> DataFrame:
         out = []
         for r in rows.itertuples(index=False):
             done = d.push(float(r.speed), float(r.diagonal))
-            out.append((key[0], int(r.step), sum(d.speeds) / WINDOW if len(d.speeds) == WINDOW else None, d.quiet, done))
+            out.append((key[0], int(r.step), sum(d.speeds) / WINDOW if len(d.speeds) == WINDOW else float("nan"), d.quiet, done))
         state.update((list(d.speeds), d.quiet))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
     return stream.groupBy("layout_id").applyInPandasWithState(advance, OUTPUT, "speeds array<double>, quiet int", "append", GroupStateTimeout.NoTimeout)
