@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessella.runtime import small, widen
 
-#: Texts that name no value, without punctuation and blanks.
+#: Texts that name no value; compared without punctuation and blanks.
 NO_VALUE = [
     "absent", "blank", "empty", "indet", "missing", "na", "nan", "nd", "nil", "no data", "no value", "none", "not available", "not given",
     "not known", "not recorded", "not specified", "null", "pending", "sp indet", "species indet", "tba", "tbc", "tbd", "undefined",
@@ -42,8 +42,8 @@ CATEGORY_LIMIT = 64
 
 
 def text_missing(c: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    return c.isNull() | (plain == "") | plain.isin(NO_VALUE)
+    plain = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    return c.isNull() | (plain == "") | plain.isin([w.replace(" ", "") for w in NO_VALUE])
 
 
 def number_missing(c: Column, upper: float | None, zero_is_value: bool = False) -> Column:
