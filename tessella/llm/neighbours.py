@@ -143,9 +143,7 @@ class Index:
             d2 = np.maximum((part * part).sum(1)[:, None] - 2 * part @ self.centres.T + norm[None], 0)
             gap = apart[mine] if apart is not None else np.sqrt(np.maximum(norm[mine][:, None] - 2 * self.centres[mine] @ self.centres.T + norm[None], 1e-24))
             bound = np.maximum((d2 - d2[np.arange(len(part)), mine][:, None]) / (2 * gap), np.sqrt(d2) - self.radius[None])
-            bound[searched[mine]] = np.inf
-            bound[:, self.count == 0] = np.inf
-            row, col = np.nonzero(bound * (1 - 1e-9) - 1e-9 <= worst[s:s + 1024, None])
+            row, col = np.nonzero((bound * (1 - 1e-9) - 1e-9 <= worst[s:s + 1024, None]) & ~searched[mine] & (self.count > 0)[None])
             out += np.split(col, np.searchsorted(row, np.arange(1, len(part))))
         return out
 
