@@ -123,20 +123,25 @@ def pair_acceleration(state: DataFrame, heat: float, forces: Forces = Forces(),
     return pulled.select("row_idx", *[((F.col(f"f{c}") - forces.centering * F.col(c)) / F.col("mass")).alias(f"a{c}") for c in "xy"])
 
 
-def pair_push(a: str, b: str, heat: float, f: Forces) -> tuple[Column, Column]:
-    """The same force as a column expression over two joined rows."""
+def pair_push(a: str, b: str, heat: float, f: Forces, dims: int | None = None) -> tuple[Column, Column]:
+    """The same force as a column expression over two joined rows; a known number of dimensions keeps it in generated code."""
     dx, dy = F.col(f"{a}.x") - F.col(f"{b}.x"), F.col(f"{a}.y") - F.col(f"{b}.y")
     r2 = dx * dx + dy * dy
     r = F.greatest(F.sqrt(r2), F.lit(1e-6))
     gap = F.abs(F.col(f"{a}.charge") - F.col(f"{b}.charge"))
-    push = -f.attraction * heat * (r - f.rest_length * S.dissimilarity(F.col(f"{a}.attraction"), F.col(f"{b}.attraction")))
+    if dims is None:
+        unlike = S.dissimilarity(F.col(f"{a}.attraction"), F.col(f"{b}.attraction"))
+    else:
+        gaps = [F.col(f"{a}.attraction")[i] - F.col(f"{b}.attraction")[i] for i in range(dims)]
+        unlike = F.sqrt(sum((g * g for g in gaps), F.lit(0.0)) / dims) if dims else F.lit(0.0)
+    push = -f.attraction * heat * (r - f.rest_length * unlike)
     push += F.when(gap == 0, -f.same_charge).otherwise(F.greatest(gap, F.lit(f.least_charge))) * (f.charge * heat) / (r2 + 1)
     near = F.greatest((f.collision_radius - r) / f.collision_radius, F.lit(0.0))
     push += f.collision * near * near
     return dx * push / r, dy * push / r
 
 
-def grid_acceleration(state: DataFrame, heat: float, forces: Forces = Forces()) -> DataFrame:
+def grid_acceleration(state: DataFrame, heat: float, forces: Forces = Forces(), dims: int | None = None) -> DataFrame:
     """(row_idx, ax, ay) from rows in the 3 x 3 cells around, by an equi-join on the cell; farther pairs do not act."""
     gx, gy = S.grid_coordinate(F.col("x")), S.grid_coordinate(F.col("y"))
     at = state.withColumn("_gx", gx).withColumn("_gy", gy)
@@ -145,7 +150,7 @@ def grid_acceleration(state: DataFrame, heat: float, forces: Forces = Forces())
         (F.col("_gx") + dx).between(0, S.GRID_SIDE - 1) & (F.col("_gy") + dy).between(0, S.GRID_SIDE - 1), (F.col("_gy") + dy) * S.GRID_SIDE + F.col("_gx") + dx)))), lambda c: c.isNotNull())
     a = at.withColumn("_cell", F.explode(around)).alias("a")
     b = at.select(*[F.col(c).alias(c) for c in ("row_idx", "x", "y", "charge", "attraction")], (F.col("_gy") * S.GRID_SIDE + F.col("_gx")).alias("_cell")).alias("b")
-    fx, fy = pair_push("a", "b", heat, forces)
+    fx, fy = pair_push("a", "b", heat, forces, dims)
     total = a.join(b, (F.col("a._cell") == F.col("b._cell")) & (F.col("a.row_idx") != F.col("b.row_idx"))).groupBy(F.col("a.row_idx").alias("row_idx")).agg(F.sum(fx).alias("fx"), F.sum(fy).alias("fy"))
     return state.join(total, "row_idx", "left").select("row_idx", *[((F.coalesce(f"f{c}", F.lit(0.0)) - forces.centering * F.col(c)) / F.col("mass")).alias(f"a{c}") for c in "xy"])
 

@@ -228,7 +228,7 @@ _NEAR = f"a.row_idx <> b.row_idx AND abs({Q.cell('a.x')} - {Q.cell('b.x')}) <= 1
 
 @query(_ACC.format(Q.pair_step(Q.PART_STATE, "1.0", _NEAR)).replace(", 6)", ", 4)"))
 def grid_accel_part(spark, d):
-    return layout.grid_acceleration(part_state(spark, d), 1.0).select("row_idx", r6("ax", "ax", 4), r6("ay", "ay", 4))
+    return layout.grid_acceleration(part_state(spark, d), 1.0, dims=1).select("row_idx", r6("ax", "ax", 4), r6("ay", "ay", 4))
 
 
 _NATION = "SELECT CAST(n_nationkey AS BIGINT) AS row_idx, n_nationkey * 1.5 - 10 AS x, (n_nationkey * 7) % 11 - 5.0 AS y, 1.0 + n_regionkey / 4.0 AS mass FROM nation"
