@@ -39,10 +39,12 @@ PARSED = "row_id long, file_id long, line_no int, reason string, cells array<str
 
 
 def delimiter_of(header_line: Column, headers: Column) -> Column:
-    """The candidate that splits the header line into as many names as there are, then the most frequent one."""
+    """The candidate that splits the header line into the very names, then into as many, then the most frequent one."""
+    plain = lambda names: F.transform(names, lambda n: F.trim(F.coalesce(n, F.lit(""))))
     def seen(d: str) -> Column:
         n = F.length(header_line) - F.length(F.replace(header_line, F.lit(d), F.lit("")))
-        return F.struct((n + 1 == F.size(headers)).alias("fits"), n.alias("n"), F.lit(-DELIMITERS.index(d)).alias("first"), F.lit(d).alias("d"))
+        same = plain(F.split(header_line, f"\\Q{d}\\E", -1)) == plain(headers)
+        return F.struct(F.coalesce(same, F.lit(False)).alias("same"), (n + 1 == F.size(headers)).alias("fits"), n.alias("n"), F.lit(-DELIMITERS.index(d)).alias("first"), F.lit(d).alias("d"))
     return F.when(header_line.isNull(), F.lit(",")).otherwise(F.array_max(F.array(*map(seen, DELIMITERS)))["d"])
 
 

@@ -43,10 +43,10 @@ def test_dates_and_blank_cells(spark):
 
 
 def test_delimiter_from_header_missing_files_and_types(spark):
-    got, parsed, f = judged(spark, ["1|2;3", "1|2"], ["a", ""], None, None, "a;x|")
+    got, parsed, f = judged(spark, ["1|2;3", "1|2"], ["a;x", ""], None, None, "a;x|")
     assert got[0]["cells"] == ["1", "2;3"] and got[0]["reason"] is None
     typed = R.typed_cells(parsed, f).where("row_id = 1").orderBy("ordinal").collect()
-    assert [t["header"] for t in typed] == ["a", "column_2"] and [t["string_value"] for t in typed] == ["1", "2"]
+    assert [t["header"] for t in typed] == ["a;x", "column_2"] and [t["string_value"] for t in typed] == ["1", "2"]
     lost = spark.createDataFrame([(5, 99, 1, "a,b", None)], ROWS)
     assert R.parse_records(lost, f).collect()[0]["reason"] == "column_count"
 
