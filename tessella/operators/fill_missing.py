@@ -304,6 +304,7 @@ def fill(df: DataFrame, key: str, individual: str, numeric: list[str], targets:
         return df.sparkSession.createDataFrame([], schema)
     rows = predict(prepared, model, [key, individual], [types[key], types[individual]])
     rows = rows.withColumn("_who", F.coalesce(F.col(individual).cast("string"), F.concat(F.lit("\0"), F.col(key).cast("string"))))
+    rows = rows.persist()  # used per individual and per gap
     seen = lambda f: F.col(f"n_{f}").isNotNull() & ~F.isnan(f"n_{f}")
     per = rows.groupBy("_who").agg(
         *[F.avg(F.when(seen(f), F.col(f"n_{f}") - F.col(f"e_{f}"))).alias(f"r_{f}") for f in targets],
