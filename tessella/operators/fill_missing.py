@@ -65,15 +65,16 @@ def upper_bounds(df: DataFrame, fields: list[str], reach: float = 3.0) -> dict[s
     return {f: None if got[f] is None else reach * got[f] for f in fields}
 
 
-def frequent_values(df: DataFrame, name: str, share: float = 0.001) -> list[str]:
-    """Values that hold at least ``share`` of the known rows, most frequent first, at most CATEGORY_LIMIT."""
-    known = df.where(~text_missing(F.col(name))).select(plain_text(F.col(name)).alias("v")).groupBy("v").count()
-    top = known.orderBy(F.desc("count"), "v").limit(CATEGORY_LIMIT).collect()
-    total = known.agg(F.sum("count")).first()[0] or 0
-    kept: list[str] = []
+def frequent_values(df: DataFrame, name: str, share: float = 0.001) -> dict[str, str]:
+    """Plain values that hold at least ``share`` of the known rows with their usual spelling, most frequent first, at most CATEGORY_LIMIT."""
+    known = df.where(~text_missing(F.col(name))).select(plain_text(F.col(name)).alias("v"), F.trim(F.col(name)).alias("raw")).groupBy("v", "raw").agg(F.count("*").alias("n"))
+    per = known.groupBy("v").agg(F.sum("n").alias("n"), F.min(F.struct(-F.col("n"), F.col("raw")))["raw"].alias("raw"))
+    top = per.orderBy(F.desc("n"), "v").limit(CATEGORY_LIMIT).collect()
+    total = per.agg(F.sum("n")).first()[0] or 0
+    kept: dict[str, str] = {}
     for r in top:
-        if r["count"] >= max(1, share * total) and not any(0 < _edits(r["v"], k) <= 2 and len(k) > 4 for k in kept):
-            kept.append(r["v"])
+        if r["n"] >= max(1, share * total) and not any(0 < _edits(r["v"], k) <= 2 and len(k) > 4 for k in kept):
+            kept[r["v"]] = r["raw"]
     return kept
 
 
@@ -295,7 +296,8 @@ def fill(df: DataFrame, key: str, individual: str, numeric: list[str], targets:
     The individual's rows are pre-aggregated before they are joined; null individuals get keys of
     their own, so they do not meet in one task."""
     bounds = upper_bounds(df, numeric)
-    categories = {f: frequent_values(df, f) for f in categorical}
+    spelling = {f: frequent_values(df, f) for f in categorical}
+    categories = {f: list(v) for f, v in spelling.items()}
     types = dict(df.dtypes)
     prepared = widen(prepare(df, numeric, categorical, bounds, [key, individual])).persist()
     model = fit(prepared, numeric, categories, **fit_options)
@@ -330,6 +332,9 @@ def fill(df: DataFrame, key: str, individual: str, numeric: list[str], targets:
         F.when(F.col(f"m_{f}").isNotNull(), "individual").otherwise("em-mode").alias("method"),
     )) for f in category_targets]
     fills = joined.select(F.col(key).alias("row_key"), F.explode(F.array_compact(F.array(*number, *text))).alias("x")).select("row_key", "x.*", F.lit(True).alias("filled"))
+    usual = [x for f in category_targets for v, raw in spelling[f].items() for x in (F.lit(f"{f}\0{v}"), F.lit(raw))]
+    if usual:
+        fills = fills.withColumn("filled_text", F.coalesce(F.create_map(*usual)[F.concat("field_name", F.lit("\0"), "filled_text")], F.col("filled_text")))
     # a text too far from all categories is odd but present: only truly missing ones are fills
     for f in category_targets:
         odd = prepared.where(F.col(f"c_{f}").isNotNull()).select(F.col(key).alias("_k"))

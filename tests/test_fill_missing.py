@@ -56,6 +56,12 @@ def test_known_category_of_the_individual_wins(spark):
     assert got["filled_text"] == "blue" and got["method"] == "individual"
 
 
+def test_fills_are_spelt_as_usual(spark):
+    rows = [(i, w, a, b, k.title() if i % 9 else k.upper(), x) for i, w, a, b, k, x in data(300)]
+    rows.append((900, "w3", 40.0, 120.0, " ", "x"))
+    assert fills(spark, rows)[900, "kind"]["filled_text"] == "Red"
+
+
 def test_empty_and_all_missing(spark):
     assert fills(spark, []) == {}
     got = fills(spark, [(1, None, None, None, None, None), (2, None, None, None, None, None)])
