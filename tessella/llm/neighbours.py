@@ -37,8 +37,13 @@ from tessella.runtime import small, widen
 
 
 def lloyd(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """k-means; in one dimension it starts half from quantiles and half from an even grid, so that the tails are coded well."""
     rng = np.random.default_rng(seed)
-    centres = points[rng.choice(len(points), min(k, len(points)), replace=False)].copy()
+    if points.shape[1] == 1 and len(points) > k:
+        low, high = np.quantile(points, [0.002, 0.998])
+        centres = np.sort(np.concatenate([np.quantile(points, np.linspace(0, 1, k // 2)), np.linspace(low, high, k - k // 2)]))[:, None]
+    else:
+        centres = points[rng.choice(len(points), min(k, len(points)), replace=False)].copy()
     for _ in range(rounds):
         near = nearest(points, centres)[0]
         n = np.bincount(near, minlength=len(centres))
@@ -96,24 +101,33 @@ class Index:
 
     def search(self, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, codes: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the k nearest members other than the query itself (-1: none) and their distances."""
-        n = len(x)
-        take = min(n, 4 * k + 16)
+        n, take, coarse = len(x), 4 * k + 28, max(32, len(x) // 32)
         best, dist = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
         if not n:
             return best, dist
-        error = np.sqrt(((x - self.decode(codes, lists)) ** 2).sum(1)).max()
+        whole = n <= take + coarse
+        if not whole:  # the worst-coded members are always reranked, so that the error of the others stays small
+            error = np.sqrt(((x - self.decode(codes, lists)) ** 2).sum(1))
+            worst = np.argpartition(error, n - coarse)[n - coarse:]
+            slack = error[worst].min()
         step = max(16, 4_000_000 // n)
         for s in range(0, len(q), step):
             part, ids = q[s:s + step], q_id[s:s + step]
+            everyone = np.broadcast_to(np.arange(n), (len(part), n))
+            if whole:
+                best[s:s + step], dist[s:s + step] = self._exact(part, ids, x, x_id, everyone, k)
+                continue
             rough = self.ranking(part, codes, lists)
-            pick = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), (len(part), n))
+            rough[:, worst] = np.inf
+            pick = np.argpartition(rough, take - 1, axis=1)[:, :take]
             edge = np.take_along_axis(rough, pick, 1).max(1)
-            at, d = self._exact(part, ids, x, x_id, pick, k)
-            if take < n:  # members left out are at least this far away
-                open_ = np.flatnonzero(np.sqrt(np.maximum(edge, 0)) * (1 - 1e-5) - error <= d[:, min(k, take) - 1])
-                for i in range(0, len(open_), max(1, 2_000_000 // n)):
-                    own = open_[i:i + max(1, 2_000_000 // n)]
-                    at[own], d[own] = self._exact(part[own], ids[own], x, x_id, np.broadcast_to(np.arange(n), (len(own), n)), k)
+            at, d = self._exact(part, ids, x, x_id, np.concatenate([pick, np.broadcast_to(worst, (len(part), coarse))], 1), k)
+            # members left out are at least this far away
+            open_ = np.flatnonzero(np.sqrt(np.maximum(edge, 0)) * (1 - 1e-5) - slack <= d[:, k - 1])
+            width = max(1, 2_000_000 // n)
+            for i in range(0, len(open_), width):
+                own = open_[i:i + width]
+                at[own], d[own] = self._exact(part[own], ids[own], x, x_id, everyone[own], k)
             best[s:s + step], dist[s:s + step] = at, d
         return best, dist
 
