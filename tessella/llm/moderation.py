@@ -9,9 +9,8 @@ with symbols, digits, separators or stretched letters in them are read as the ba
 stand for, if there is one. Marginals come from forward-backward passes over whole sentences.
 
 Background words are counted over all documents: frequent forms that hardly ever share a sentence
-with a seed word. They are a feature that favours clean. A sentence is decoded only if one of its
-words by itself favours a bad tag, and a span counts only if it holds a word that can carry a bad
-passage (not address or person words alone). All texts are read whole, every sentence is looked at.
+with a seed word. They are a feature that favours clean. Every sentence of every text is decoded; a
+span counts only if it holds a word that can carry a bad passage (not address or person words alone).
 
 Defined results: null, empty and blank texts score 0 and have no spans. Repeated texts score
 alike, each under its own key. Offsets count code points of the text as given. A null source is a
@@ -329,14 +328,15 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, edge
 class Tagger:
     """Scores batches of texts; what a piece contributes is worked out once per distinct piece."""
 
-    def __init__(self, model: Model, margin: float = 0.3):
-        self.model, self.margin = model, margin
+    def __init__(self, model: Model):
+        self.model = model
+        self.bigrams = np.array(sorted(ord(p[0]) << 21 | ord(p[1]) for p in model.reader.pairs), np.int64)
         self.table = PieceTable(self._learn, self._forget)
         self._forget()
 
     def _forget(self) -> None:
         self.emit = np.zeros((0, len(STATES)), np.float32)
-        self.word, self.cls, self.ends, self.hot, self.cjk, self.strong = (np.zeros(0, t) for t in (np.int32, np.int8, bool, bool, bool, bool))
+        self.word, self.cls, self.ends, self.strong = (np.zeros(0, t) for t in (np.int32, np.int8, bool, bool))
 
     def _learn(self, pieces: list[str]) -> None:
         m = self.model
@@ -345,13 +345,9 @@ class Tagger:
         cls = np.array([g[1] for g in got], np.int8)
         marks = np.array([[g[2], g[3]] for g in got], float)
         emit = m.word_w[word] + m.class_w[cls] + marks @ m.mark_w + m.bias
-        own = emit - m.bias
-        hot = (own[:, 1:].max(1) - own[:, 0] > self.margin)
-        cjk = np.array([bool(_CJK.match(p)) for p in pieces])
         self.emit = np.concatenate([self.emit, emit.astype(np.float32)])
         self.word, self.cls = np.concatenate([self.word, word]), np.concatenate([self.cls, cls])
-        self.ends, self.hot = np.concatenate([self.ends, np.array([g[4] for g in got], bool)]), np.concatenate([self.hot, hot])
-        self.cjk = np.concatenate([self.cjk, cjk])
+        self.ends = np.concatenate([self.ends, np.array([g[4] for g in got], bool)])
         self.strong = np.concatenate([self.strong, np.array([g[0] in m.strong for g in got], bool)])
 
     def spans(self, texts: pa.Array, least: float = 0.5) -> Iterator[tuple[int, int, int, int, float]]:
@@ -366,12 +362,12 @@ class Tagger:
                 owner = np.searchsorted(starts, begin, "right") - 1
                 cut = np.ones(len(number), bool)
                 cut[1:] = self.ends[number[:-1]] | (owner[1:] != owner[:-1])
-                sentence = np.cumsum(cut) - 1
                 first = np.flatnonzero(cut)
                 size = np.diff(np.append(first, len(number)))
-                hot = np.zeros(len(first), bool)
-                hot[sentence[self.hot[number]]] = True
-                for s in self._decode(whole, begin, number, first[hot], size[hot], len(points)):
+                char = points[begin].astype(np.int64)
+                cls = self.cls[number].astype(np.int64)
+                cls[1:][~cut[1:] & np.isin(char[:-1] << 21 | char[1:], self.bigrams)] = len(LEXICON)
+                for s in self._decode(number, cls, first, size):
                     o = owner[s[0]]
                     start, stop = begin[s[0]], (begin[s[1]] if s[1] < len(begin) else len(points))
                     stop = min(stop, starts[o + 1])
@@ -381,7 +377,7 @@ class Tagger:
                         yield base + int(o), int(start - starts[o]), int(stop - starts[o]), s[2], s[3]
             base += count
 
-    def _decode(self, whole: str, begin: np.ndarray, number: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) -> Iterator[tuple[int, int, int, float]]:
+    def _decode(self, number: np.ndarray, classes: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         m = self.model
         pieces = [(a + s, min(CHAIN, z - s)) for a, z in zip(first.tolist(), size.tolist()) for s in range(0, max(z - CHAIN // 4, 1), CHAIN * 3 // 4)]
         pieces.sort(key=lambda x: x[1])
@@ -392,12 +388,9 @@ class Tagger:
             wide = int(length.max())
             pos = start[:, None] + np.arange(wide)
             mask = np.arange(wide) < length[:, None]
-            num = number[np.minimum(pos, len(number) - 1)]
-            word, cls = self.word[num], self.cls[num].astype(np.int64)
-            if self.cjk[num].any():
-                for i, j in zip(*np.nonzero(self.cjk[num] & mask)):
-                    if j and whole[begin[pos[i, j - 1]]] + whole[begin[pos[i, j]]] in m.reader.pairs:
-                        cls[i, j] = len(LEXICON)
+            inside = np.minimum(pos, len(number) - 1)
+            num, cls = number[inside], classes[inside]
+            word = self.word[num]
             emit = self.emit[num].astype(float) + m.class_w[cls] - m.class_w[self.cls[num]]
             pair = m.pairs[word[:, :-1], word[:, 1:]]
             emit[:, 1:] += m.pair_w[pair] + m.classes_w[cls[:, :-1] * c + cls[:, 1:]]
@@ -407,10 +400,10 @@ class Tagger:
                 run = np.concatenate([[False], bad[i] > 0.5, [False]])
                 edge = np.flatnonzero(run[1:] != run[:-1])
                 for a, b in zip(edge[::2], edge[1::2]):
-                    inside = bad[i, a:b]
+                    marginals = bad[i, a:b]
                     if not (self.strong[num[i, a:b]].any() or (cls[i, a:b] == len(LEXICON)).any()):
                         continue
-                    yield int(pos[i, a]), int(pos[i, b - 1]) + 1, int(p[i, a:b, 1:].sum(0).argmax()) + 1, float(inside.sum() / max(3, b - a))
+                    yield int(pos[i, a]), int(pos[i, b - 1]) + 1, int(p[i, a:b, 1:].sum(0).argmax()) + 1, float(marginals.sum() / max(3, b - a))
 
 
 class Counting:

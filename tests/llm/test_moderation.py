@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pytest
 
@@ -66,3 +68,14 @@ def test_without_examples_or_rows(spark, model):
     assert M.train([]) is None and M.train([("fine", "clean")]) is None
     assert M.score_texts(df, None).first()["score"] == 0 and M.score_texts(df.limit(0), model).count() == 0
     assert M.background_words(df.limit(0)) == frozenset()
+
+
+def test_sentences_of_unseen_characters_are_decoded(model):
+    import pyarrow as pa
+
+    # no character is in the examples: only the two-character words of the lexicon can tell
+    class_w = model.class_w.copy()
+    class_w[len(M.LEXICON)] = [-4, 4, 0, 0]
+    text = "弁の高さ。審査官はクズだ、消えろ。"
+    spans = list(M.Tagger(dataclasses.replace(model, class_w=class_w)).spans(pa.array(["The valve 3 is pushed over the seat.", text]), 0.0))
+    assert spans and all(o == 1 and start >= text.index("審") and state == 1 for o, start, _, state, _ in spans)
