@@ -8,8 +8,8 @@ compared in a plain form: case, accents, invisible and look-alike characters rem
 with symbols, digits, separators or stretched letters in them are read as the bad word they
 stand for, if there is one. Marginals come from forward-backward passes over whole sentences.
 
-Background words are counted over all documents: frequent forms that hardly ever share a sentence
-with a seed word. They are a feature that favours clean. Every sentence of every text is decoded; a
+Background words are counted over all documents: forms with at least a share of all places that hardly
+ever share a sentence with a seed word, but none that only bad examples hold. They are a feature that favours clean. Every sentence of every text is decoded; a
 span counts only if it holds a word that can carry a bad passage (not address or person words alone).
 
 Defined results: null, empty and blank texts score 0 and have no spans. Repeated texts score
@@ -158,6 +158,18 @@ def token_starts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def bigram_keys(pairs: set[str]) -> np.ndarray:
+    return np.array(sorted(ord(p[0]) << 21 | ord(p[1]) for p in pairs), np.int64)
+
+
+def ends_bigram(points: np.ndarray, begin: np.ndarray, cut: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the first character of a piece and that of the piece before, in the same sentence, are one of the two-character words."""
+    char = points[begin].astype(np.int64)
+    got = np.zeros(len(begin), bool)
+    got[1:] = ~cut[1:] & np.isin(char[:-1] << 21 | char[1:], keys)
+    return got
+
+
 @dataclass
 class Model:
     """Weights: unary by word, class and marks; pairwise by word pair and class pair; transitions."""
@@ -193,7 +205,7 @@ def _sentences(tokens: list[tuple]) -> list[list[int]]:
 
 
 def label_examples(examples: list[tuple[str, str]], reader: Reader, rounds: int = 3) -> list[tuple[list[tuple], int]]:
-    """Labelled sentences: of bad passages those whose words side with bad ones, all others clean."""
+    """Labelled sentences: of bad passages those whose words side with bad ones, all others clean. Background words side with none."""
     state = {s: i for i, s in enumerate(STATES)}
     items = []
     for snippet, verdict in examples:
@@ -211,7 +223,7 @@ def label_examples(examples: list[tuple[str, str]], reader: Reader, rounds: int
         odds = lambda w: np.log((bad[w] + 0.3) / (sum(bad.values()) + 1)) - np.log((good[w] + 0.3) / (sum(good.values()) + 1))
         labelled, nbad, ngood = [], Counter(), Counter()
         for v, sents in items:
-            marks = [np.mean([odds(t[0]) for t in s] or [0]) for s in sents]
+            marks = [np.mean([min(odds(t[0]), 0) if t[3] else odds(t[0]) for t in s] or [0]) for s in sents]
             top = int(np.argmax(marks)) if marks else -1
             for k, s in enumerate(sents):
                 is_bad = v > 0 and (marks[k] > 0.4 or k == top)
@@ -230,6 +242,8 @@ def train(examples: list[tuple[str, str]], background: frozenset[str] = frozense
     # words that only bad sentences hold are read through odd spellings as well
     good = {t[0] for s, v in labelled if v == 0 for t in s}
     often = Counter(t[0] for s, v in labelled if v for t in s)
+    background -= {w for w in often if w not in good}  # however frequent
+    reader.background = background
     for w, n in often.items():
         if w not in good and n > 1 and len(w) > 3 and w.isalpha() and not _CJK.match(w):
             reader.bad.setdefault(w, 0)
@@ -330,7 +344,7 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model = model
-        self.bigrams = np.array(sorted(ord(p[0]) << 21 | ord(p[1]) for p in model.reader.pairs), np.int64)
+        self.bigrams = bigram_keys(model.reader.pairs)
         self.table = PieceTable(self._learn, self._forget)
         self._forget()
 
@@ -364,9 +378,8 @@ class Tagger:
                 cut[1:] = self.ends[number[:-1]] | (owner[1:] != owner[:-1])
                 first = np.flatnonzero(cut)
                 size = np.diff(np.append(first, len(number)))
-                char = points[begin].astype(np.int64)
                 cls = self.cls[number].astype(np.int64)
-                cls[1:][~cut[1:] & np.isin(char[:-1] << 21 | char[1:], self.bigrams)] = len(LEXICON)
+                cls[ends_bigram(points, begin, cut, self.bigrams)] = len(LEXICON)
                 for s in self._decode(number, cls, first, size):
                     o = owner[s[0]]
                     start, stop = begin[s[0]], (begin[s[1]] if s[1] < len(begin) else len(points))
@@ -411,6 +424,7 @@ class Counting:
 
     def __init__(self) -> None:
         self.reader = Reader()
+        self.bigrams = bigram_keys(self.reader.pairs)
         self.table = PieceTable(self._learn, self._forget)
         self.total: Counter = Counter()
         self.seeded: Counter = Counter()
@@ -452,19 +466,21 @@ class Counting:
             cut[1:] = self.ends[number[:-1]] | (owner[1:] != owner[:-1])
             sentence = np.cumsum(cut) - 1
             bad = np.zeros(sentence[-1] + 1, bool)
-            bad[sentence[self.seed[number]]] = True
+            bad[sentence[self.seed[number] | ends_bigram(points, begin, cut, self.bigrams)]] = True
             self.n += np.bincount(number, minlength=len(self.n))
             self.bad += np.bincount(number[bad[sentence]], minlength=len(self.n))
 
 
-def background_words(df: DataFrame, text: str = "text", least: int = 20, rate: float = 0.01, most: int = 50_000) -> frozenset[str]:
-    """Forms in at least ``least`` places of all texts of which less than ``rate`` share a sentence with a seed word.
+def background_words(df: DataFrame, text: str = "text", least: int = 20, rate: float = 0.01, most: int = 50_000, share: float = 4.7e-6) -> frozenset[str]:
+    """Forms in at least ``share`` of all places of all texts of which less than ``rate`` share a sentence with a seed word.
 
+    A form in fewer than ``least`` places tells too little, however small the corpus is.
     Counted over all texts, added up per task and then by Spark; the ``most`` frequent ones are kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counting()
         def out() -> pa.RecordBatch:
             c.settle()
+            c.total[""] = sum(c.total.values())  # no form is empty: all places
             forms = list(c.total)
             b = pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array([c.total[f] for f in forms], pa.int64()), pa.array([c.seeded[f] for f in forms], pa.int64())], names=["form", "n", "bad"])
             c.total.clear()
@@ -477,8 +493,9 @@ def background_words(df: DataFrame, text: str = "text", least: int = 20, rate: f
         yield out()
 
     counted = df.select(text).mapInArrow(run, "form string, n long, bad long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    kept = counted.where((F.col("n") >= least) & (F.col("bad") < rate * F.col("n"))).orderBy(F.desc("n"), "form").limit(most)
-    return frozenset(r[0] for r in kept.select("form").collect())
+    kept = counted.where((F.col("n") >= least) & (F.col("bad") < rate * F.col("n"))).orderBy(F.desc("n"), "form").limit(most + 1).collect()
+    places = max([r["n"] for r in kept if not r["form"]], default=0)
+    return frozenset(r["form"] for r in kept if r["form"] and r["n"] >= share * places)
 
 
 def fit_model(examples: DataFrame, background: frozenset[str] = frozenset()) -> Model | None:

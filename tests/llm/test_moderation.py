@@ -79,3 +79,21 @@ def test_sentences_of_unseen_characters_are_decoded(model):
     text = "弁の高さ。審査官はクズだ、消えろ。"
     spans = list(M.Tagger(dataclasses.replace(model, class_w=class_w)).spans(pa.array(["The valve 3 is pushed over the seat.", text]), 0.0))
     assert spans and all(o == 1 and start >= text.index("審") and state == 1 for o, start, _, state, _ in spans)
+
+
+def test_background_follows_the_corpus_and_spares_bad_words(spark):
+    rows = [(i, "审查员就是个蠢猪。弁体在此。 The valve is worn.") for i in range(30)] + [(99, "valve " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = M.background_words(df, share=0.02), M.background_words(df)
+    assert "worn" in many and "worn" not in few and "valve" in few
+    assert "弁" in many and not set("审查员蠢猪") & many  # they share a sentence with a two-character word of the lexicon
+    examples = [(CLEAN[i % 5].format(i), "clean") for i in range(20)] + [("You gormless twit.", "abusive")] * 3
+    model = M.train(examples, frozenset(["valve", "gormless"]), rounds=5)
+    assert "gormless" in model.strong and model.reader.background == {"valve"}
+
+
+def test_background_sentences_of_bad_passages_are_clean():
+    words = "dans une variante orifice est remplace".split()
+    examples = [("Dans une variante, orifice est remplacé. You stupid idiot.", "abusive"), *[("Salaud, dans une variante.", "abusive")] * 3, ("You stupid idiot.", "abusive"), ("The valve is worn.", "clean")]
+    got = M.label_examples(examples, M.Reader(background=frozenset(words)))
+    assert [v for s, v in got if s[0][0] == "dans"] == [0] and [v for s, v in got if s[0][0] == "you"] == [1, 1]
