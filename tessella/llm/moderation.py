@@ -9,8 +9,8 @@ with symbols, digits, separators or stretched letters in them are read as the ba
 stand for, if there is one. Marginals come from forward-backward passes over whole sentences.
 
 Background words are counted over all documents: forms with at least a share of all places that hardly
-ever share a sentence with a seed word, but none that only bad examples hold. They are a feature that favours clean. Every sentence of every text is decoded; a
-span counts only if it holds a word that can carry a bad passage (not address or person words alone).
+ever share a sentence with a seed word, but none that only bad examples hold. They are a feature that favours clean. Every sentence of every text is decoded,
+and the marginals alone decide what is a span.
 
 Defined results: null, empty and blank texts score 0 and have no spans. Repeated texts score
 alike, each under its own key. Offsets count code points of the text as given. A null source is a
@@ -50,7 +50,7 @@ LEXICON = {
     "person": "he she his her him they them their they're those those whoever somebody someone nobody everyone everybody mother wife kids people examiner attorney inventor lawyer drafter engineer prufer erfinder anwalt examinateur avocat examinador abogado inventeur i'm i'll",
     "cjk": "蠢猪 去死 傻逼 垃圾 混蛋 白痴 滚开 滚蛋 贱人 畜生 操你 他妈 废物 杂种 鸡巴 呻吟 脱光 害虫 赶出 性交 做爱 裸体 淫荡 妓女 婊子 馬鹿 死ね 野郎 クズ クソ バカ 消え 追い ゴミ 害虫 裸に ちん しゃ まん ブス 殺す 奴ら",
 }
-#: Numbers of the classes whose words can carry a bad passage (insult to harm, without address and person).
+#: Numbers of the classes whose words are seeds (insult to harm, without address and person).
 STRONG = (1, 7)
 #: Characters that stand for Latin letters.
 ALIKE = dict(zip("авеёіїјкмнорсԁһѕтухцԛԝαβεηικμνορτυχγ", "abeeiijkmhopcdhstyxuqwabenikuvoptuxy"))
@@ -176,7 +176,6 @@ class Model:
 
     reader: Reader
     words: dict[str, int]
-    strong: frozenset[str]  # words that can carry a bad passage
     pairs: np.ndarray  # dense: word number of the left, of the right -> pair number, 0 is none
     word_w: np.ndarray
     pair_w: np.ndarray
@@ -247,9 +246,6 @@ def train(examples: list[tuple[str, str]], background: frozenset[str] = frozense
     for w, n in often.items():
         if w not in good and n > 1 and len(w) > 3 and w.isalpha() and not _CJK.match(w):
             reader.bad.setdefault(w, 0)
-    strong = {w for w, n in often.items() if w not in good and n > 1 and len(w) > 3 and w not in background and not _CJK.match(w)}
-    strong |= {w for w, k in reader.classes.items() if STRONG[0] <= k <= STRONG[1] and w not in background}
-    strong -= {w for w, k in reader.classes.items() if not STRONG[0] <= k <= STRONG[1]}
     reader.index()
     labelled = label_examples(examples, reader)
     # passages run together without a full stop: join every bad sentence with a clean one as well
@@ -313,7 +309,7 @@ def train(examples: list[tuple[str, str]], background: frozenset[str] = frozense
             m1[name] = 0.9 * m1[name] + 0.1 * grad
             m2[name] = 0.99 * m2[name] + 0.01 * grad * grad
             w[name] += rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-6)
-    return Model(reader, words, frozenset(strong), dense, **w)
+    return Model(reader, words, dense, **w)
 
 
 def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, edges: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -350,7 +346,7 @@ class Tagger:
 
     def _forget(self) -> None:
         self.emit = np.zeros((0, len(STATES)), np.float32)
-        self.word, self.cls, self.ends, self.strong = (np.zeros(0, t) for t in (np.int32, np.int8, bool, bool))
+        self.word, self.cls, self.ends = (np.zeros(0, t) for t in (np.int32, np.int8, bool))
 
     def _learn(self, pieces: list[str]) -> None:
         m = self.model
@@ -362,7 +358,6 @@ class Tagger:
         self.emit = np.concatenate([self.emit, emit.astype(np.float32)])
         self.word, self.cls = np.concatenate([self.word, word]), np.concatenate([self.cls, cls])
         self.ends = np.concatenate([self.ends, np.array([g[4] for g in got], bool)])
-        self.strong = np.concatenate([self.strong, np.array([g[0] in m.strong for g in got], bool)])
 
     def spans(self, texts: pa.Array, least: float = 0.5) -> Iterator[tuple[int, int, int, int, float]]:
         """(text number, start, end, state, score) of each bad span; ends exclusive, in code points."""
@@ -414,8 +409,6 @@ class Tagger:
                 edge = np.flatnonzero(run[1:] != run[:-1])
                 for a, b in zip(edge[::2], edge[1::2]):
                     marginals = bad[i, a:b]
-                    if not (self.strong[num[i, a:b]].any() or (cls[i, a:b] == len(LEXICON)).any()):
-                        continue
                     yield int(pos[i, a]), int(pos[i, b - 1]) + 1, int(p[i, a:b, 1:].sum(0).argmax()) + 1, float(marginals.sum() / max(3, b - a))
 
 

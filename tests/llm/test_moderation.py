@@ -78,7 +78,7 @@ def test_sentences_of_unseen_characters_are_decoded(model):
     class_w[len(M.LEXICON)] = [-4, 4, 0, 0]
     text = "弁の高さ。審査官はクズだ、消えろ。"
     spans = list(M.Tagger(dataclasses.replace(model, class_w=class_w)).spans(pa.array(["The valve 3 is pushed over the seat.", text]), 0.0))
-    assert spans and all(o == 1 and start >= text.index("審") and state == 1 for o, start, _, state, _ in spans)
+    assert any(o == 1 and start <= text.index("ク") < stop and state == 1 for o, start, stop, state, _ in spans)
 
 
 def test_background_follows_the_corpus_and_spares_bad_words(spark):
@@ -89,7 +89,7 @@ def test_background_follows_the_corpus_and_spares_bad_words(spark):
     assert "弁" in many and not set("审查员蠢猪") & many  # they share a sentence with a two-character word of the lexicon
     examples = [(CLEAN[i % 5].format(i), "clean") for i in range(20)] + [("You gormless twit.", "abusive")] * 3
     model = M.train(examples, frozenset(["valve", "gormless"]), rounds=5)
-    assert "gormless" in model.strong and model.reader.background == {"valve"}
+    assert model.reader.background == {"valve"}
 
 
 def test_background_sentences_of_bad_passages_are_clean():
@@ -97,3 +97,13 @@ def test_background_sentences_of_bad_passages_are_clean():
     examples = [("Dans une variante, orifice est remplacé. You stupid idiot.", "abusive"), *[("Salaud, dans une variante.", "abusive")] * 3, ("You stupid idiot.", "abusive"), ("The valve is worn.", "clean")]
     got = M.label_examples(examples, M.Reader(background=frozenset(words)))
     assert [v for s, v in got if s[0][0] == "dans"] == [0] and [v for s, v in got if s[0][0] == "you"] == [1, 1]
+
+
+def test_no_word_list_has_a_veto(model):
+    import pyarrow as pa
+
+    text = "You gormless nincompoop, go."
+    assert not any(M.Reader().read(t)[1] in range(M.STRONG[0], M.STRONG[1] + 1) for t in M.tokenize(text))
+    word_w = model.word_w.copy()
+    word_w[[model.words[w] for w in ("you",)], 1] += 9.0
+    assert list(M.Tagger(dataclasses.replace(model, word_w=word_w)).spans(pa.array([text])))
