@@ -486,7 +486,7 @@ def _state_of(spark, d, name: str, columns: list[str], budget: int, layout_id: i
     return api.build(api.parse_and_infer(spark, t.withColumn("row_idx", key)), budget=budget)
 
 
-def _lineitem(spark, d, budget: int = 300) -> api.Built:
+def _lineitem(spark, d, budget: int = S.BUDGETS["static"]) -> api.Built:
     return _state_of(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"], budget)
 
 

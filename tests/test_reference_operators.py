@@ -128,3 +128,12 @@ def test_png_and_crc(spark):
     at = out.index(b"iTXt")
     n = int.from_bytes(out[at - 4:at], "big")
     assert out[12:16] == b"IHDR" and b'{"seed": 1}' in out and zlib.crc32(out[at:at + 4 + n]) == int.from_bytes(out[at + 4 + n:at + 8 + n], "big")
+
+
+def test_layout_queries_use_the_reference_row_budget(monkeypatch):
+    from tessella.plans import reference
+
+    seen = []
+    monkeypatch.setattr(reference, "_state_of", lambda spark, d, name, columns, budget, layout_id=0: seen.append((name, budget)))
+    reference._lineitem(None, "")
+    assert seen == [("lineitem", 2000)]
