@@ -3,14 +3,20 @@
 Method: a linear-chain conditional random field over words (single characters for Chinese and
 Japanese) tags each with clean, abusive, hateful or sexual. It is trained here on the judged
 passages (at most ``MAX_EXAMPLES`` of them): sentences of a bad passage are labelled by how their
-words split between clean and bad passages, then the chain likelihood is maximised. Words are
-compared in a plain form: case, accents, invisible and look-alike characters removed; spellings
-with symbols, digits, separators or stretched letters in them are read as the bad word they
-stand for, if there is one. Marginals come from forward-backward passes over whole sentences.
-
-Background words are counted over all documents: forms with at least a share of all places that hardly
-ever share a sentence with a seed word, but none that only bad examples hold. They are a feature that favours clean. Every sentence of every text is decoded,
-and the marginals alone decide what is a span.
+words split between clean and bad passages, then the chain likelihood is maximised. Features are
+the word, its letter trigrams, word pairs, a seed class (``LEXICON``, features only), odd spelling,
+and what the whole sentence shows: whether somebody is addressed or a person named, how many strong
+words it has, digits, and how much of it is common wording. Words are compared in a plain form:
+case, accents, invisible and look-alike characters removed; spellings with symbols, digits,
+separators or stretched letters in them are read as the bad word they stand for, if there is one.
+Marginals come from forward-backward passes over every sentence of every text, and they alone
+decide what is a span.
+
+Two more features come from counts over all documents, without labels: common words (a share of all
+places, hardly ever in a sentence with a seed word other than themselves; none that only bad
+examples hold) and literally repeated sentences that hold a strong word. What a noticeable share
+of all documents repeats is boilerplate; how much that weighs is learnt from the judged passages,
+whose sentences are looked up alike.
 
 Defined results: null, empty and blank texts score 0 and have no spans. Repeated texts score
 alike, each under its own key. Offsets count code points of the text as given. A null source is a
@@ -19,8 +25,10 @@ source of its own. Without usable examples (no bad or no clean ones) every score
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,12 +54,13 @@ LEXICON = {
     "expel": "deport deported exterminate exterminated eradicate camps outnumber hater worshippers migrants immigrants foreigners refugees gejagt chasser dehors echarlos fuera raus auslander migranten extranjeros etrangers inmigrantes hire hires decent breed invade",
     "sexual": "naked nude nudes porn porno sex sexy xxx pussy cock dick tits boobs nipples clit cum cumming orgasm erection masturbate masturbates blowjob blowjobs anal milf horny escorts slut sluts moaned moaning licked sucked sucking squirted undressed undressing jerked penis vagina uncensored schwanz nackt geil geile stohnte chatte bite sucait baisent salopes nues polla chupo follar desnuda desnudas tetas gimio kissed thrust thighs thigh whispered",
     "harm": "kill killed bleed throat slit choke choked bullet burn burns stab strangle shoot shot dies dead skull corpse umbringen toten stirb sterben tuer creve creves matar muere mueras pudras suffer beat hang hanged acid knife kneecaps",
-    "address": "you u your yours you're you'll youre yourself du dich dir dein deine deinen ihr euch tu te ton ta toi vous vosotros vete callate eres ferme halt ya",
-    "person": "he she his her him they them their they're those those whoever somebody someone nobody everyone everybody mother wife kids people examiner attorney inventor lawyer drafter engineer prufer erfinder anwalt examinateur avocat examinador abogado inventeur i'm i'll",
+    "address": "you u your yours you're you'll youre yourself du dich dir dein deine deinen deiner ihr euch tu te ton ta toi vous vosotros vete callate eres ferme halt ya 你 您",
+    "person": "he she his her hers him my we us our they them their they're those whoever somebody someone nobody everyone everybody mother wife wives kids people men women man woman examiner attorney inventor lawyer drafter engineer prufer erfinder anwalt examinateur avocat examinador abogado inventeur i'm i'll er sie ihn ihm ihnen sein seine seinen seiner ihre ihren ich mich wir uns il elle ils elles lui leur leurs je moi nous son sa ses el ella ellos ellas le les mi yo nosotros su sus 他 她 彼 俺",
     "cjk": "蠢猪 去死 傻逼 垃圾 混蛋 白痴 滚开 滚蛋 贱人 畜生 操你 他妈 废物 杂种 鸡巴 呻吟 脱光 害虫 赶出 性交 做爱 裸体 淫荡 妓女 婊子 馬鹿 死ね 野郎 クズ クソ バカ 消え 追い ゴミ 害虫 裸に ちん しゃ まん ブス 殺す 奴ら",
 }
 #: Numbers of the classes whose words are seeds (insult to harm, without address and person).
 STRONG = (1, 7)
+ADDRESS, PERSON, BIGRAM = (list(LEXICON).index(k) + 1 for k in ("address", "person", "cjk"))
 #: Characters that stand for Latin letters.
 ALIKE = dict(zip("авеёіїјкмнорсԁһѕтухцԛԝαβεηικμνορτυχγ", "abeeiijkmhopcdhstyxuqwabenikuvoptuxy"))
 LEET = [{"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "€": "e", "+": "t", "|": "l"}, {"4": "a", "@": "a", "3": "e", "1": "l", "!": "l", "0": "o", "$": "s", "5": "s", "7": "t"}]
@@ -126,7 +135,7 @@ class Reader:
         body = raw.strip()
         ends = bool(_STOP.search(body)) or "\n" in raw[len(raw.rstrip()):] or "\r" in raw[len(raw.rstrip()):]
         if _CJK.match(body):
-            return body[0], 0, False, body[0] in self.background, ends
+            return body[0], self.classes.get(body[0], 0), False, body[0] in self.background, ends
         core = _EDGE.sub("", plain(body))
         if sum(c.isalpha() for c in core) < 2 and core not in self.classes and not re.search(r"[a-z][*#@$%]", core):
             return "", 0, False, True, ends
@@ -172,18 +181,95 @@ def ends_bigram(points: np.ndarray, begin: np.ndarray, cut: np.ndarray, keys: np
 
 @dataclass
 class Model:
-    """Weights: unary by word, class and marks; pairwise by word pair and class pair; transitions."""
+    """Weights of all features (rows) for all states, where each block of features begins, and transitions."""
 
     reader: Reader
     words: dict[str, int]
-    pairs: np.ndarray  # dense: word number of the left, of the right -> pair number, 0 is none
-    word_w: np.ndarray
-    pair_w: np.ndarray
-    class_w: np.ndarray
-    classes_w: np.ndarray
-    mark_w: np.ndarray
+    pairs: np.ndarray  # sorted: word number of the left times ``base`` plus that of the right
+    base: int
+    at: dict[str, int]
+    w: np.ndarray
     trans: np.ndarray
-    bias: np.ndarray
+    formulas: dict[int, int] = field(default_factory=dict)
+    watched: frozenset[str] = frozenset()
+
+    def pair_ids(self, word: np.ndarray) -> np.ndarray:
+        """Feature of each word with the one before it along the last axis; 0 is none."""
+        left, right = word[..., :-1], word[..., 1:]
+        key = np.where((left > 0) & (right > 0), left.astype(np.int64) * self.base + right, -1)
+        where = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        known = self.pairs[where] == key if len(self.pairs) else np.zeros(key.shape, bool)
+        return np.concatenate([np.zeros((*word.shape[:-1], 1), np.int64), np.where(known, self.at["pair"] + where, 0)], -1)
+
+
+CLASSES = len(LEXICON) + 1
+GRAMS = 4096
+#: What a sentence shows as a whole: addressed, persons, strong words (0 to 3), digits, and the share of background words.
+HUMAN, COUNTS, SHARES = 2, 4, 4
+#: How much of the corpus repeats a sentence that holds a strong word: from 1 in 4096 documents (1) by factors of two up to 1 in 256 (5).
+LEVELS = 5
+BLOCKS = {"none": 1, "mark": 2, "bias": 1, "class": CLASSES, "classes": CLASSES * CLASSES, "addressed": HUMAN * CLASSES, "person": HUMAN * CLASSES, "strong": COUNTS * CLASSES, "scene": HUMAN * COUNTS * 2, "usual": SHARES * 2, "formula": LEVELS + 1, "gram": GRAMS}
+
+
+@dataclass(frozen=True)
+class Background:
+    """What the corpus tells without labels: its common words, and the levels of sentences that it repeats literally, as far as
+    they hold a strong or a watched word."""
+
+    words: frozenset[str] = frozenset()
+    formulas: dict[int, int] = field(default_factory=dict)
+    watched: frozenset[str] = frozenset()
+
+
+def watched_words(examples: list[tuple[str, str]]) -> frozenset[str]:
+    """Forms that bad sentences of the judged passages hold and clean ones never."""
+    labelled = label_examples(examples, Reader())
+    return frozenset({t[0] for s, v in labelled if v for t in s} - {t[0] for s, v in labelled if not v for t in s} - {""})
+
+
+def signature(forms: list[str]) -> int:
+    """A number for the longer words of a sentence in any order, so that a lost article or a numeral makes no other sentence."""
+    kept = sorted({f for f in forms if f and (len(f) > 3 or _CJK.match(f)) and not any(c.isdigit() for c in f)})
+    return int.from_bytes(hashlib.blake2b(" ".join(kept).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def level(n: np.ndarray, documents: int) -> np.ndarray:
+    """Level of a sentence found in ``n`` documents; two standard errors are taken off, so that a few chance repeats in a small corpus are no formula."""
+    share = np.maximum(n - 2 * np.sqrt(n), 0) / max(documents, 1)
+    return np.clip(np.floor(np.log2(np.maximum(share, 1e-12) * 4096)) + 1, 0, LEVELS).astype(int)
+
+
+def formula_ids(levels: np.ndarray, at: dict[str, int]) -> np.ndarray:
+    """One feature for each level reached, so that weights of higher levels add to those of lower ones."""
+    return np.where(np.arange(1, LEVELS + 1) <= levels[:, None], at["formula"] + np.arange(1, LEVELS + 1), 0)
+
+
+def grams(form: str) -> list[int]:
+    """Hashed letter trigrams of a form with its ends marked; none for characters of Chinese or Japanese."""
+    if len(form) < 3 or _CJK.match(form):
+        return []
+    marked = f"^{form}$"
+    return sorted({zlib.crc32(marked[i:i + 3].encode()) % GRAMS for i in range(len(marked) - 2)})
+
+
+def strong_places(cls: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    return ((cls >= STRONG[0]) & (cls <= STRONG[1])) | (cls == BIGRAM) | odd
+
+
+def scenes(cls: np.ndarray, odd: np.ndarray, digits: np.ndarray, usual: np.ndarray, worded: np.ndarray, first: np.ndarray, at: dict[str, int]) -> np.ndarray:
+    """Features (rows: places) that depend on the whole sentence; ``first`` are the sentences' first places."""
+    if not len(cls):
+        return np.zeros((0, 5), np.int64)
+    size = np.diff(np.append(first, len(cls)))
+    strong = strong_places(cls, odd)
+    add = lambda x: np.repeat(np.add.reduceat(x.astype(np.int64), first), size)
+    addressed, person, n = np.minimum(add(cls == ADDRESS), 1), np.minimum(add(cls == PERSON), 1), np.minimum(add(strong), COUNTS - 1)
+    share = np.minimum((add(usual & worded) * SHARES) // np.maximum(add(worded), 1), SHARES - 1)
+    human = np.maximum(addressed, person)
+    return np.stack([
+        at["addressed"] + addressed * CLASSES + cls, at["person"] + person * CLASSES + cls, at["strong"] + n * CLASSES + cls,
+        at["scene"] + (human * COUNTS + n) * 2 + np.minimum(add(digits), 1), at["usual"] + share * 2 + strong,
+    ], 1)
 
 
 def tokenize(text: str) -> list[str]:
@@ -219,7 +305,8 @@ def label_examples(examples: list[tuple[str, str]], reader: Reader, rounds: int
             elif len(sents) == 1:
                 bad.update({t[0] for t in s})
     for _ in range(rounds):
-        odds = lambda w: np.log((bad[w] + 0.3) / (sum(bad.values()) + 1)) - np.log((good[w] + 0.3) / (sum(good.values()) + 1))
+        total = np.log((sum(bad.values()) + 1) / (sum(good.values()) + 1))
+        odds = lambda w, good=good, bad=bad, total=total: np.log((bad[w] + 0.3) / (good[w] + 0.3)) - total
         labelled, nbad, ngood = [], Counter(), Counter()
         for v, sents in items:
             marks = [np.mean([min(odds(t[0]), 0) if t[3] else odds(t[0]) for t in s] or [0]) for s in sents]
@@ -232,8 +319,9 @@ def label_examples(examples: list[tuple[str, str]], reader: Reader, rounds: int
     return labelled
 
 
-def train(examples: list[tuple[str, str]], background: frozenset[str] = frozenset(), rounds: int = 150, rate: float = 0.08, seed: int = 3) -> Model | None:
+def train(examples: list[tuple[str, str]], corpus: Background = Background(), rounds: int = 150, rate: float = 0.08, seed: int = 3, word_drop: float = 0.6, gram_decay: float = 0.1) -> Model | None:
     """Maximises the chain likelihood with Adam; words and pairs are dropped at random so that classes learn to stand in."""
+    background = corpus.words
     reader = Reader(background=background)
     labelled = label_examples(examples, reader)
     if not any(v for _, v in labelled) or all(v for _, v in labelled):
@@ -251,65 +339,94 @@ def train(examples: list[tuple[str, str]], background: frozenset[str] = frozense
     # passages run together without a full stop: join every bad sentence with a clean one as well
     rng = np.random.default_rng(seed)
     clean = [s for s, v in labelled if v == 0 and len(s) > 4]
-    chains = [(s, [v] * len(s)) for s, v in labelled if s]
+    found = {id(s): corpus.formulas.get(signature([t[0] for t in s]), 0) for s, _ in labelled}
+    chains = [(s, [v] * len(s), [found[id(s)]] * len(s)) for s, v in labelled if s]
     for s, v in list(labelled):
         if v and clean:
             other = clean[rng.integers(len(clean))]
-            chains.append(([*s, *other], [v] * len(s) + [0] * len(other)) if rng.random() < 0.5 else ([*other, *s], [0] * len(other) + [v] * len(s)))
-    count = Counter(t[0] for s, _ in chains for t in s)
+            chains.append(([*s, *other], [v] * len(s) + [0] * len(other), [0] * (len(s) + len(other))) if rng.random() < 0.5 else ([*other, *s], [0] * len(other) + [v] * len(s), [0] * (len(s) + len(other))))
+    count = Counter(t[0] for s, *_ in chains for t in s)
     count.pop("", None)
-    words = {w: i for i, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:4000], 1)}
-    v = len(words) + 1
-    n, length = len(chains), max(len(s) for s, _ in chains)
-    word, cls, marks = np.zeros((n, length), np.int64), np.zeros((n, length), np.int64), np.zeros((n, length, 2))
-    gold, mask = np.zeros((n, length), np.int64), np.zeros((n, length), bool)
-    cjk = len(LEXICON)
-    for i, (s, y) in enumerate(chains):
-        for j, t in enumerate(s):
-            word[i, j], cls[i, j], marks[i, j], gold[i, j], mask[i, j] = words.get(t[0], 0), t[1], (t[2], t[3]), y[j], True
-            if j and s[j - 1][0] + t[0] in reader.pairs:
-                cls[i, j] = cjk
-    pair_key = np.zeros((n, length), np.int64)
-    pair_key[:, 1:] = np.where((word[:, 1:] > 0) & (word[:, :-1] > 0) & mask[:, 1:], word[:, :-1] * v + word[:, 1:], 0)
-    kept = np.unique(pair_key[pair_key > 0])
-    pair = np.where(pair_key > 0, np.searchsorted(kept, pair_key) + 1, 0)
-    dense = np.zeros((v, v), np.int32)
-    dense[kept // v, kept % v] = np.arange(1, len(kept) + 1)
-    c, k = len(LEXICON) + 1, len(STATES)
-    shapes = {"word_w": (v, k), "pair_w": (len(kept) + 1, k), "class_w": (c, k), "classes_w": (c * c, k), "mark_w": (2, k), "trans": (k, k), "bias": (k,)}
-    w = {name: np.zeros(s) for name, s in shapes.items()}
-    w["mark_w"][1, 0] = 1.0
-    w["bias"][0], w["trans"][np.diag_indices(k)] = 1.0, 1.0
-    prior = {name: x.copy() for name, x in w.items()}
-    decay = {"word_w": 0.02, "pair_w": 0.06, "class_w": 0.01, "classes_w": 0.03, "mark_w": 0.02, "trans": 0.01, "bias": 0.01}
-    m1, m2 = ({name: np.zeros(s) for name, s in shapes.items()} for _ in range(2))
+    words = {w: i for i, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0])), 1)}
+    chains.sort(key=lambda c: len(c[0]))
+    sizes = np.array([len(s) for s, *_ in chains])
+    first = np.cumsum(sizes) - sizes
+    flat = [t for s, *_ in chains for t in s]
+    gold, levels = np.array([g for _, y, _ in chains for g in y]), np.array([f for *_, f in chains for f in f])
+    word = np.array([words.get(t[0], 0) for t in flat], np.int64)
+    cls = np.array([t[1] for t in flat], np.int64)
+    starts = np.zeros(len(flat), bool)
+    starts[first] = True
+    for j in range(1, len(flat)):
+        if not starts[j] and flat[j - 1][0] + flat[j][0] in reader.pairs:
+            cls[j] = BIGRAM
+    left = np.where(starts, 0, np.concatenate([[0], word[:-1]]))
+    base = len(words) + 1
+    key = np.where((left > 0) & (word > 0), left * base + word, -1)
+    kept = np.unique(key[key >= 0])
+    at, end = {}, 0
+    for name, n in {**BLOCKS, "word": base, "pair": len(kept)}.items():
+        at[name], end = end, end + n
+    model = Model(reader, words, kept, base, at, np.zeros((end, len(STATES))), np.zeros((len(STATES),) * 2), corpus.formulas, corpus.watched)
+    own = [grams(f) for f in ["", *words]]  # per word number
+    spelt_word = np.repeat(np.arange(base), [len(o) for o in own])
+    spelt = at["gram"] + np.array([g for o in own for g in o], np.int64)
+    pair = np.where(key >= 0, at["pair"] + np.searchsorted(kept, np.maximum(key, 0)), 0)
+    both = at["classes"] + np.where(starts, 0, np.concatenate([[0], cls[:-1]])) * CLASSES + cls
+    marks = np.array([[t[2], t[3]] for t in flat], bool).reshape(-1, 2)
+    digits, worded = np.array([any(c.isdigit() for c in t[0]) or not t[0] for t in flat]), np.array([bool(t[0]) for t in flat])
+    rest = np.concatenate([
+        np.full((len(flat), 1), at["bias"]), np.where(marks, at["mark"] + np.arange(2), 0), (at["class"] + cls)[:, None], both[:, None], scenes(cls, marks[:, 0], digits, marks[:, 1], worded, first, at),
+        formula_ids(levels, at),
+    ], 1)
+    decay = np.zeros((end, 1))
+    for name, d in {"none": 1.0, "word": 0.02, "pair": 0.06, "class": 0.01, "classes": 0.03, "mark": 0.02, "bias": 0.01, "addressed": 0.02, "person": 0.02, "strong": 0.02, "scene": 0.02, "usual": 0.02, "formula": 0.02, "gram": gram_decay}.items():
+        decay[at[name]:at[name] + {**BLOCKS, "word": base, "pair": len(kept)}[name]] = d
+    prior_w, prior_t = np.zeros_like(model.w), np.eye(len(STATES))
+    prior_w[at["mark"] + 1, 0] = prior_w[at["bias"], 0] = 1.0
+    w, trans = prior_w.copy(), prior_t.copy()
+    m1, m2, t1, t2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)
+    blocks = [(a, min(a + 256, len(chains))) for a in range(0, len(chains), 256)]
+    shown, which = np.unique(rest, axis=0, return_inverse=True)  # many places show the same
+    which = which.reshape(-1)
+    states = range(len(STATES))
+    total = lambda at_, d_, n: np.stack([np.bincount(at_, d_[:, k], n) for k in states], 1)
+    kept_rounds, mean_w, mean_t = 0, w.copy(), trans.copy()
     for step in range(1, rounds + 1):
-        wd = np.where(rng.random(word.shape) < 0.25, 0, word)
-        pr = np.where((rng.random(word.shape) < 0.5) | (wd == 0), 0, pair)
-        both = np.zeros_like(cls)
-        both[:, 1:] = cls[:, :-1] * c + cls[:, 1:]
-        emit = w["word_w"][wd] + w["pair_w"][pr] + w["class_w"][cls] + w["classes_w"][both] + marks @ w["mark_w"] + w["bias"]
-        p, edge = forward_backward(emit, mask, w["trans"], edges=True)
-        d = np.where(mask[..., None], np.eye(k)[gold] - p, 0)
-        flat = d[mask]
-        g = {name: np.zeros(s) for name, s in shapes.items()}
-        np.add.at(g["word_w"], wd[mask], flat)
-        np.add.at(g["pair_w"], pr[mask], flat)
-        np.add.at(g["class_w"], cls[mask], flat)
-        np.add.at(g["classes_w"], both[mask], flat)
-        g["mark_w"] = np.tensordot(marks[mask], flat, (0, 0))
-        g["bias"] = flat.sum(0)
-        linked = mask[:, 1:]
-        np.add.at(g["trans"], (gold[:, :-1][linked], gold[:, 1:][linked]), 1.0)
-        g["trans"] -= edge
-        g["pair_w"][0] = 0
-        g["word_w"][0] = 0
-        for name in shapes:
-            grad = g[name] - decay[name] * 8 * (w[name] - prior[name])
-            m1[name] = 0.9 * m1[name] + 0.1 * grad
-            m2[name] = 0.99 * m2[name] + 0.01 * grad * grad
-            w[name] += rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-6)
-    return Model(reader, words, dense, **w)
+        seen = rng.random(len(flat)) >= word_drop
+        linked_too = seen & (rng.random(len(flat)) < 0.5)
+        read_too = seen | (rng.random(len(flat)) < 0.3)
+        letters = total(spelt_word, w[spelt], base)
+        emit = w[shown].sum(1)[which] + np.where(seen, 1.0, 0.0)[:, None] * w[at["word"] + word] + np.where(linked_too, 1.0, 0.0)[:, None] * w[pair] + np.where(read_too, 1.0, 0.0)[:, None] * letters[word]
+        d, tg = np.zeros_like(emit), np.zeros_like(trans)
+        for a, b in blocks:  # chains of like length
+            long = int(sizes[b - 1])
+            pos = first[a:b, None] + np.arange(long)
+            mask = np.arange(long) < sizes[a:b, None]
+            pos = np.minimum(pos, len(flat) - 1)
+            p, edge = forward_backward(emit[pos], mask, trans, edges=True)
+            d[pos[mask]] = np.eye(len(STATES))[gold[pos[mask]]] - p[mask]
+            tg -= edge
+        linked = ~starts
+        linked[0] = False
+        np.add.at(tg, (gold[np.flatnonzero(linked) - 1], gold[linked]), 1.0)
+        g = total(shown.ravel(), np.repeat(total(which, d, len(shown)), shown.shape[1], axis=0), end)
+        g[at["word"]:at["word"] + base] += total(word[seen], d[seen], base)
+        g += total(pair[linked_too], d[linked_too], end)
+        np.add.at(g, spelt, total(word[read_too], d[read_too], base)[spelt_word])
+        g -= decay * 8 * (w - prior_w)
+        g[0] = g[at["word"]] = 0.0
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        w += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+        tg -= 0.08 * (trans - prior_t)
+        t1, t2 = 0.9 * t1 + 0.1 * tg, 0.99 * t2 + 0.01 * tg * tg
+        trans += rate * (t1 / (1 - 0.9**step)) / (np.sqrt(t2 / (1 - 0.99**step)) + 1e-6)
+        if 3 * step > rounds:  # the mean of the later rounds evens out what was dropped at random
+            kept_rounds += 1
+            mean_w += (w - mean_w) / kept_rounds
+            mean_t += (trans - mean_t) / kept_rounds
+    model.w, model.trans = mean_w, mean_t
+    return model
 
 
 def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, edges: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -330,9 +447,8 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, edge
     if not edges:
         return p, None
     left, right = alpha[:, :-1], e[:, 1:] * beta[:, 1:]
-    z = np.einsum("nia,ab,nib->ni", left, t, right)
-    scale = np.where(mask[:, 1:], 1.0 / z, 0.0)
-    return p, t * np.einsum("nia,ni,nib->ab", left, scale, right)
+    scale = np.where(mask[:, 1:], 1.0 / ((left @ t) * right).sum(2), 0.0)
+    return p, t * ((left * scale[..., None]).reshape(-1, k).T @ right.reshape(-1, k))
 
 
 class Tagger:
@@ -345,87 +461,120 @@ class Tagger:
         self._forget()
 
     def _forget(self) -> None:
-        self.emit = np.zeros((0, len(STATES)), np.float32)
-        self.word, self.cls, self.ends = (np.zeros(0, t) for t in (np.int32, np.int8, bool))
+        self.emit = np.zeros((0, len(STATES)))
+        self.forms: list[str] = []
+        self.word, self.cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ends, self.odd, self.usual, self.digits, self.worded, self.watched = (np.zeros(0, bool) for _ in range(6))
 
     def _learn(self, pieces: list[str]) -> None:
         m = self.model
         got = [m.reader.read(p) for p in pieces]
-        word = np.array([m.words.get(g[0], 0) for g in got], np.int32)
-        cls = np.array([g[1] for g in got], np.int8)
-        marks = np.array([[g[2], g[3]] for g in got], float)
-        emit = m.word_w[word] + m.class_w[cls] + marks @ m.mark_w + m.bias
-        self.emit = np.concatenate([self.emit, emit.astype(np.float32)])
-        self.word, self.cls = np.concatenate([self.word, word]), np.concatenate([self.cls, cls])
-        self.ends = np.concatenate([self.ends, np.array([g[4] for g in got], bool)])
+        word = np.array([m.words.get(g[0], 0) for g in got], np.int64)
+        marks = np.array([[g[2], g[3]] for g in got], float).reshape(-1, 2)
+        spelt = np.array([m.w[[m.at["gram"] + x for x in grams(g[0])]].sum(0) for g in got]).reshape(-1, len(STATES))
+        emit = m.w[m.at["word"] + word] + marks @ m.w[m.at["mark"]:m.at["mark"] + 2] + m.w[m.at["bias"]] + spelt
+        self.emit = np.concatenate([self.emit, emit])
+        self.forms += [g[0] for g in got]
+        self.word, self.cls = np.concatenate([self.word, word]), np.concatenate([self.cls, np.array([g[1] for g in got], np.int64)])
+        flags = {"ends": [g[4] for g in got], "odd": [g[2] for g in got], "usual": [g[3] for g in got], "digits": [any(c.isdigit() for c in g[0]) or not g[0] for g in got], "worded": [bool(g[0]) for g in got], "watched": [g[0] in m.watched for g in got]}
+        for name, x in flags.items():
+            setattr(self, name, np.concatenate([getattr(self, name), np.array(x, bool)]))
 
-    def spans(self, texts: pa.Array, least: float = 0.5) -> Iterator[tuple[int, int, int, int, float]]:
+    def spans(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
         """(text number, start, end, state, score) of each bad span; ends exclusive, in code points."""
+        for base, found, _, _ in self.judge(texts):
+            yield from ((base + o, *rest) for o, *rest in found)
+
+    def judge(self, texts: pa.Array) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+        """Per stretch of texts: number of its first text, its spans, and each text's score and worst state."""
         base = 0
         m = self.model
         for whole, points, starts in chunks(texts):
             begin = token_starts(points, starts)
             number = self.table.numbers(whole, points, begin)
             count = len(starts) - 1
+            found: list[tuple] = []
+            score, state = np.zeros(count), np.zeros(count, np.int64)
             if len(number):
                 owner = np.searchsorted(starts, begin, "right") - 1
                 cut = np.ones(len(number), bool)
                 cut[1:] = self.ends[number[:-1]] | (owner[1:] != owner[:-1])
                 first = np.flatnonzero(cut)
                 size = np.diff(np.append(first, len(number)))
-                cls = self.cls[number].astype(np.int64)
-                cls[ends_bigram(points, begin, cut, self.bigrams)] = len(LEXICON)
-                for s in self._decode(number, cls, first, size):
-                    o = owner[s[0]]
-                    start, stop = begin[s[0]], (begin[s[1]] if s[1] < len(begin) else len(points))
-                    stop = min(stop, starts[o + 1])
-                    text = whole[start:stop]
-                    stop -= len(text) - len(text.rstrip())
-                    if s[3] >= least:
-                        yield base + int(o), int(start - starts[o]), int(stop - starts[o]), s[2], s[3]
+                cls = self.cls[number]
+                cls[ends_bigram(points, begin, cut, self.bigrams)] = BIGRAM
+                emit = self.emit[number] + m.w[m.at["class"] + cls]
+                for ids in scenes(cls, self.odd[number], self.digits[number], self.usual[number], self.worded[number], first, m.at).T:
+                    emit += m.w[ids]
+                for k in np.flatnonzero(np.bitwise_or.reduceat(strong_places(cls, self.odd[number]) | self.watched[number], first)) if m.formulas else ():
+                    a, z = first[k], first[k] + size[k]
+                    high = m.formulas.get(signature([self.forms[i] for i in number[a:z]]), 0)
+                    emit[a:z] += m.w[m.at["formula"] + 1:m.at["formula"] + 1 + high].sum(0)
+                follows = ~cut
+                follows[0] = False
+                before = np.where(follows, np.roll(cls, 1), 0)
+                emit += m.w[m.at["classes"] + before * CLASSES + cls]
+                emit += np.where(follows[:, None], m.w[m.pair_ids(self.word[number])], 0.0)
+                for at, best, kind, runs in self._decode(emit, first, size):
+                    o = owner[at]
+                    order = np.argsort(best, kind="stable")
+                    better = best[order] > score[o[order]]
+                    score[o[order][better]], state[o[order][better]] = best[order][better], kind[order][better]
+                    for a, z, k, mean in runs:
+                        i = owner[a]
+                        start, stop = begin[a], min(begin[z] if z < len(begin) else len(points), starts[i + 1])
+                        text = whole[start:stop]
+                        found.append((int(i), int(start - starts[i]), int(stop - starts[i]) - len(text) + len(text.rstrip()), k, mean))
+            yield base, found, score, state
             base += count
 
-    def _decode(self, number: np.ndarray, classes: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        m = self.model
+    def _decode(self, emit: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+        """Per block of chains: first places, score, its state, and the spans."""
         pieces = [(a + s, min(CHAIN, z - s)) for a, z in zip(first.tolist(), size.tolist()) for s in range(0, max(z - CHAIN // 4, 1), CHAIN * 3 // 4)]
         pieces.sort(key=lambda x: x[1])
-        c = len(LEXICON) + 1
         for at in range(0, len(pieces), 512):
             part = pieces[at:at + 512]
             start, length = np.array([p[0] for p in part]), np.array([p[1] for p in part])
             wide = int(length.max())
             pos = start[:, None] + np.arange(wide)
             mask = np.arange(wide) < length[:, None]
-            inside = np.minimum(pos, len(number) - 1)
-            num, cls = number[inside], classes[inside]
-            word = self.word[num]
-            emit = self.emit[num].astype(float) + m.class_w[cls] - m.class_w[self.cls[num]]
-            pair = m.pairs[word[:, :-1], word[:, 1:]]
-            emit[:, 1:] += m.pair_w[pair] + m.classes_w[cls[:, :-1] * c + cls[:, 1:]]
-            p, _ = forward_backward(emit, mask, m.trans)
+            p, _ = forward_backward(emit[np.minimum(pos, len(emit) - 1)], mask, self.model.trans)
             bad = np.where(mask, 1 - p[..., 0], 0)
-            for i in np.flatnonzero(bad.max(1) > 0.5):
-                run = np.concatenate([[False], bad[i] > 0.5, [False]])
+            padded = np.pad(bad, ((0, 0), (0, 2)))
+            near = (padded[:, :-2] + padded[:, 1:-1] + padded[:, 2:]) / 3
+            top = near.argmax(1)
+            i = np.arange(len(part))
+            around = np.minimum(top[:, None] + np.arange(3), wide - 1)
+            kind = np.where(mask[i[:, None], around][..., None], p[i[:, None], around, 1:], 0).sum(1).argmax(1) + 1
+            best, runs = np.minimum(near[i, top], 0.499999), []
+            for r in np.flatnonzero(bad.max(1) > 0.5):
+                run = np.concatenate([[False], bad[r] > 0.5, [False]])
                 edge = np.flatnonzero(run[1:] != run[:-1])
                 for a, b in zip(edge[::2], edge[1::2]):
-                    marginals = bad[i, a:b]
-                    yield int(pos[i, a]), int(pos[i, b - 1]) + 1, int(p[i, a:b, 1:].sum(0).argmax()) + 1, float(marginals.sum() / max(3, b - a))
+                    mean = float(bad[r, a:b].sum() / max(3, b - a))
+                    if mean >= 0.5:
+                        runs.append((int(pos[r, a]), int(pos[r, b - 1]) + 1, int(p[r, a:b, 1:].sum(0).argmax()) + 1, mean))
+                        if mean > best[r]:
+                            best[r], kind[r] = mean, runs[-1][2]
+            yield start, best, kind, runs
 
 
 class Counting:
-    """Counts, for every form, the sentences it is in and those that hold a seed word as well."""
+    """Counts, for every form, the places it has and those in whose sentence another place holds a seed word."""
 
-    def __init__(self) -> None:
-        self.reader = Reader()
+    def __init__(self, watched: frozenset[str] = frozenset()) -> None:
+        self.reader, self.watch = Reader(), watched
         self.bigrams = bigram_keys(self.reader.pairs)
         self.table = PieceTable(self._learn, self._forget)
         self.total: Counter = Counter()
         self.seeded: Counter = Counter()
+        self.repeated: Counter = Counter()
+        self.documents = 0
         self._clear()
 
     def _clear(self) -> None:
         self.forms: list[str] = []
-        self.ends, self.seed = np.zeros(0, bool), np.zeros(0, bool)
+        self.ends, self.seed, self.watched = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
         self.n, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
@@ -446,6 +595,7 @@ class Counting:
         self.forms += [g[0] for g in got]
         self.ends = np.concatenate([self.ends, np.array([g[4] for g in got], bool)])
         self.seed = np.concatenate([self.seed, np.array([STRONG[0] <= g[1] <= STRONG[1] or g[2] for g in got], bool)])
+        self.watched = np.concatenate([self.watched, np.array([g[0] in self.watch for g in got], bool)])
         self.n, self.bad = (np.concatenate([x, np.zeros(len(got), np.int64)]) for x in (self.n, self.bad))
 
     def add(self, texts: pa.Array) -> None:
@@ -457,43 +607,74 @@ class Counting:
             owner = np.searchsorted(starts, begin, "right") - 1
             cut = np.ones(len(number), bool)
             cut[1:] = self.ends[number[:-1]] | (owner[1:] != owner[:-1])
+            pair = ends_bigram(points, begin, cut, self.bigrams)
+            pair[:-1] |= pair[1:]  # both characters of a two-character word
+            seed = self.seed[number] | pair
             sentence = np.cumsum(cut) - 1
-            bad = np.zeros(sentence[-1] + 1, bool)
-            bad[sentence[self.seed[number] | ends_bigram(points, begin, cut, self.bigrams)]] = True
+            others = np.bincount(sentence, seed)[sentence] - seed  # no place is a seed of its own
+            others[pair] = 1
             self.n += np.bincount(number, minlength=len(self.n))
-            self.bad += np.bincount(number[bad[sentence]], minlength=len(self.n))
+            self.bad += np.bincount(number[others > 0], minlength=len(self.n))
+            self.documents += len(starts) - 1
+            first = np.flatnonzero(cut)
+            stop = np.append(first[1:], len(number))
+            for k, o in {(signature([self.forms[i] for i in number[first[k]:stop[k]]]), owner[first[k]]) for k in np.flatnonzero(np.bitwise_or.reduceat(seed | self.watched[number], first))}:
+                self.repeated[k] += 1  # once a document
 
 
-def background_words(df: DataFrame, text: str = "text", least: int = 20, rate: float = 0.01, most: int = 50_000, share: float = 4.7e-6) -> frozenset[str]:
-    """Forms in at least ``share`` of all places of all texts of which less than ``rate`` share a sentence with a seed word.
+def corpus_background(df: DataFrame, text: str = "text", watched: frozenset[str] = frozenset(), rate: float = 0.01, share: float = 1e-6) -> Background:
+    """Common words: forms in at least ``share`` of all places of which less than ``rate`` share a sentence with a seed word
+    other than themselves. Repeated sentences: those with a seed or watched word, by the share of documents that hold them.
+
+    Counted over all texts, added up per task and then by Spark. No more than 1 / ``share`` forms reach that share, and no
+    more than 4096 times the seeded sentences of an average document reach the lowest level, so what the driver gets is bounded."""
+    schema = "kind int, form string, hash long, n long, bad long"
 
-    A form in fewer than ``least`` places tells too little, however small the corpus is.
-    Counted over all texts, added up per task and then by Spark; the ``most`` frequent ones are kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Counting()
+        c = Counting(watched)
         def out() -> pa.RecordBatch:
             c.settle()
-            c.total[""] = sum(c.total.values())  # no form is empty: all places
-            forms = list(c.total)
-            b = pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array([c.total[f] for f in forms], pa.int64()), pa.array([c.seeded[f] for f in forms], pa.int64())], names=["form", "n", "bad"])
+            places = sum(c.total.values())
+            rows = [(0, None, 0, places, c.documents), *((1, f, 0, n, c.seeded[f]) for f, n in c.total.items()), *((2, None, h, n, 0) for h, n in c.repeated.items())]
+            kind, form, code, n, bad = zip(*rows)
             c.total.clear()
             c.seeded.clear()
-            return b
+            c.repeated.clear()
+            c.documents = 0
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(form, pa.string()), pa.array(code, pa.int64()), pa.array(n, pa.int64()), pa.array(bad, pa.int64())], names=["kind", "form", "hash", "n", "bad"])
         for b in batches:
             c.add(b.column(0))
-            if len(c.total) > 500_000:
+            if len(c.total) + len(c.repeated) > 500_000:
                 yield out()
         yield out()
 
-    counted = df.select(text).mapInArrow(run, "form string, n long, bad long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    kept = counted.where((F.col("n") >= least) & (F.col("bad") < rate * F.col("n"))).orderBy(F.desc("n"), "form").limit(most + 1).collect()
-    places = max([r["n"] for r in kept if not r["form"]], default=0)
-    return frozenset(r["form"] for r in kept if r["form"] and r["n"] >= share * places)
+    counted = df.select(text).mapInArrow(run, schema).groupBy("kind", "form", "hash").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).persist()
+    whole = counted.where("kind = 0").first()
+    places, documents = (whole["n"], whole["bad"]) if whole else (0, 0)
+    words = counted.where((F.col("kind") == 1) & (F.col("n") >= share * places) & (F.col("bad") < rate * F.col("n"))).select("form").collect()
+    often = counted.where((F.col("kind") == 2) & (F.col("n") >= documents / 4096)).select("hash", "n").collect()
+    counted.unpersist()
+    levels = level(np.array([r["n"] for r in often], float), documents)
+    return Background(frozenset(r["form"] for r in words), {r["hash"]: int(v) for r, v in zip(often, levels) if v}, watched)
+
+
+_models: dict[tuple, Model | None] = {}
+
+
+def judged(examples: DataFrame) -> list[tuple[str, str]]:
+    """At most ``MAX_EXAMPLES`` judged passages, by number."""
+    return [(r[0], r[1]) for r in examples.select("snippet", "verdict").orderBy("example_id").limit(MAX_EXAMPLES).collect()]
 
 
-def fit_model(examples: DataFrame, background: frozenset[str] = frozenset()) -> Model | None:
-    rows = examples.select("snippet", "verdict").orderBy("example_id").limit(MAX_EXAMPLES).collect()
-    return train([(r[0], r[1]) for r in rows], background)
+def fit_model(examples: DataFrame, documents: DataFrame, text: str = "text") -> Model | None:
+    """The model of the judged passages before the background of all documents; the last one is kept and used again for the same input."""
+    rows = judged(examples)
+    corpus = corpus_background(documents, text, watched_words(rows))
+    key = (tuple(rows), corpus.words, frozenset(corpus.formulas.items()))
+    if key not in _models:
+        _models.clear()
+        _models[key] = train(rows, corpus)
+    return _models[key]
 
 
 _taggers: dict[str, Tagger] = {}
@@ -502,7 +683,9 @@ _taggers: dict[str, Tagger] = {}
 def score_texts(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """``key``, score, worst class, and the spans (start, end, label, score) of every text.
 
-    The score is the best span's mean marginal, spans shorter than three words counting as three.
+    A span is a run of words that are more likely bad than not; spans shorter than three words count as three, so a single word
+    never decides. The score is the best span's mean marginal. Without a span of 0.5 or more it is the best mean of three
+    neighbouring words, below 0.5, so that every text can be ranked for review.
     The model (a few MB at most, by the bound on examples) is broadcast."""
     import uuid
 
@@ -518,13 +701,14 @@ def score_texts(df: DataFrame, model: Model | None, key: str = "doc_id", text: s
         tagger = _taggers[name]
         for b in batches:
             found: list[list] = [[] for _ in range(b.num_rows)]
-            if tagger:
-                for o, start, end, state, score in tagger.spans(b.column(1)):
-                    if not any(x["start"] <= start and end <= x["end"] for x in found[o]):
-                        found[o].append({"start": start, "end": end, "label": STATES[state], "score": round(score, 6)})
-            best = [max(f, key=lambda x: x["score"]) if f else None for f in found]
+            best, state = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            for base, spans, score, kind in tagger.judge(b.column(1)) if tagger else ():
+                best[base:base + len(score)], state[base:base + len(score)] = score, kind
+                for o, start, end, k, mean in spans:
+                    if not any(x["start"] <= start and end <= x["end"] for x in found[base + o]):
+                        found[base + o].append({"start": start, "end": end, "label": STATES[k], "score": round(mean, 6)})
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(b.column(2 + i) for i in range(len(extra))), pa.array([x["score"] if x else 0.0 for x in best], pa.float64()), pa.array([x["label"] if x else None for x in best], pa.string()),
+                [b.column(0), *(b.column(2 + i) for i in range(len(extra))), pa.array(np.round(best, 6)), pa.array([STATES[k] if x >= 0.5 else None for x, k in zip(best, state)], pa.string()),
                  pa.array([sorted(f, key=lambda x: x["start"]) for f in found], span)],
                 names=[key, *extra, "score", "label", "spans"],
             )

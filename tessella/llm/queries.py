@@ -76,7 +76,7 @@ def p7_fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = moderation.fit_model(table(spark, sf_dir, "moderation_examples"), moderation.background_words(documents))
+    model = moderation.fit_model(table(spark, sf_dir, "moderation_examples"), documents)
     return moderation.score_texts(documents, model, extra=("source",))
 
 

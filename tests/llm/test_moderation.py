@@ -20,7 +20,7 @@ def model():
         kind, t = BAD[i % 4]
         text = t.format(ADJ[rng.integers(4)], NOUN[rng.integers(4)])
         rows.append((CLEAN[i % 5].format(7) + " " + text if i % 3 == 0 else text, kind))
-    return M.train(rows, frozenset(["the", "valve", "housing"]), rounds=80)
+    return M.train(rows, M.Background(frozenset(["the", "valve", "housing"])), rounds=80)
 
 
 def test_marginals_equal_enumeration():
@@ -67,31 +67,60 @@ def test_without_examples_or_rows(spark, model):
     df = spark.createDataFrame([(1, "You idiot")], "doc_id long, text string")
     assert M.train([]) is None and M.train([("fine", "clean")]) is None
     assert M.score_texts(df, None).first()["score"] == 0 and M.score_texts(df.limit(0), model).count() == 0
-    assert M.background_words(df.limit(0)) == frozenset()
+    assert M.corpus_background(df.limit(0)) == M.Background()
 
 
 def test_sentences_of_unseen_characters_are_decoded(model):
     import pyarrow as pa
 
     # no character is in the examples: only the two-character words of the lexicon can tell
-    class_w = model.class_w.copy()
-    class_w[len(M.LEXICON)] = [-4, 4, 0, 0]
+    w = model.w.copy()
+    w[model.at["class"] + M.BIGRAM] = [-4, 4, 0, 0]
     text = "弁の高さ。審査官はクズだ、消えろ。"
-    spans = list(M.Tagger(dataclasses.replace(model, class_w=class_w)).spans(pa.array(["The valve 3 is pushed over the seat.", text]), 0.0))
-    assert any(o == 1 and start <= text.index("ク") < stop and state == 1 for o, start, stop, state, _ in spans)
+    (_, _, score, state), = M.Tagger(dataclasses.replace(model, w=w)).judge(pa.array(["The valve 3 is pushed over the seat.", text]))
+    assert score[1] > score[0] and state[1] == 1
+
+
+def test_scores_below_the_threshold_are_graded(model):
+    import pyarrow as pa
+
+    (_, spans, score, _), = M.Tagger(model).judge(pa.array(["The valve 3 is pushed over the seat.", "The idiot valve.", "You stupid idiot, shut your mouth."]))
+    assert 0 < score[0] < 0.5 <= score[2] and score[0] < score[1] and {s[0] for s in spans if s[4] >= 0.5} >= {2}
 
 
 def test_background_follows_the_corpus_and_spares_bad_words(spark):
     rows = [(i, "审查员就是个蠢猪。弁体在此。 The valve is worn.") for i in range(30)] + [(99, "valve " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    few, many = M.background_words(df, share=0.02), M.background_words(df)
+    few, many = M.corpus_background(df, share=0.02).words, M.corpus_background(df).words
     assert "worn" in many and "worn" not in few and "valve" in few
     assert "弁" in many and not set("审查员蠢猪") & many  # they share a sentence with a two-character word of the lexicon
     examples = [(CLEAN[i % 5].format(i), "clean") for i in range(20)] + [("You gormless twit.", "abusive")] * 3
-    model = M.train(examples, frozenset(["valve", "gormless"]), rounds=5)
+    model = M.train(examples, M.Background(frozenset(["valve", "gormless"])), rounds=5)
     assert model.reader.background == {"valve"}
 
 
+def test_no_place_is_its_own_seed(spark):
+    df = spark.createDataFrame([(i, "The naked wire is cut. The valve is worn.") for i in range(40)], "doc_id long, text string")
+    words = M.corpus_background(df).words
+    assert "naked" in words and "wire" not in words
+
+
+def test_repeated_sentences_have_levels_whatever_the_size():
+    n = np.array([1, 4, 50, 500])
+    assert M.level(n, 10_000).tolist() == [0, 0, 4, 5] and M.level(n * 100, 1_000_000).tolist()[1:] == [1, 5, 5]
+    assert M.signature("the rats are kept away from hopper 0".split()) == M.signature("rats kept away from the hopper".split()) != M.signature("rats kept in hopper".split())
+
+
+def test_repeated_sentences_are_counted_once_a_document(spark):
+    line = "Vermin such as rats are kept away from hopper 3 by a grid. "
+    df = spark.createDataFrame([(i, line * 3 + ("You stupid idiot. " if i < 2 else "")) for i in range(64)], "doc_id long, text string")
+    formulas = M.corpus_background(df).formulas
+    assert formulas == {M.signature("vermin such as rats are kept away from hopper by a grid".split()): 5}
+    rows = [(CLEAN[0].format(i), "clean") for i in range(30)] + [("You stupid idiot, go away.", "abusive")] * 30 + [(line, "clean")] * 30
+    model = M.train(rows, M.Background(frozenset(), formulas), rounds=60)
+    assert model.w[model.at["formula"] + 1:model.at["formula"] + 6, 0].sum() > model.w[model.at["formula"] + 1:model.at["formula"] + 6, 1].sum()
+
+
 def test_background_sentences_of_bad_passages_are_clean():
     words = "dans une variante orifice est remplace".split()
     examples = [("Dans une variante, orifice est remplacé. You stupid idiot.", "abusive"), *[("Salaud, dans une variante.", "abusive")] * 3, ("You stupid idiot.", "abusive"), ("The valve is worn.", "clean")]
@@ -104,6 +133,23 @@ def test_no_word_list_has_a_veto(model):
 
     text = "You gormless nincompoop, go."
     assert not any(M.Reader().read(t)[1] in range(M.STRONG[0], M.STRONG[1] + 1) for t in M.tokenize(text))
-    word_w = model.word_w.copy()
-    word_w[[model.words[w] for w in ("you",)], 1] += 9.0
-    assert list(M.Tagger(dataclasses.replace(model, word_w=word_w)).spans(pa.array([text])))
+    w = model.w.copy()
+    w[model.at["word"] + model.words["you"], 1] += 25.0
+    w[model.at["bias"], 0] -= 3.0
+    assert list(M.Tagger(dataclasses.replace(model, w=w)).spans(pa.array([text])))
+
+
+def test_held_out_kinds_of_sentences():
+    """Each kind of clean and bad sentence is judged by a model that has not seen it."""
+    import pyarrow as pa
+
+    rng, rows = np.random.default_rng(4), []
+    kinds = [*((c, "clean") for c in CLEAN), *((t, v) for v, t in BAD), ("What kind of {} {} writes this?", "abusive"), ("{} people, {} and all, should be driven out.", "hateful"), ("He is a {} {}, they know.", "abusive")]
+    for k, (t, v) in enumerate(kinds):
+        rows += [(k, t.format(rng.integers(1, 300)) if v == "clean" else t.format(ADJ[rng.integers(4)], NOUN[rng.integers(4)]), v) for _ in range(25)]
+    right = 0
+    for k, (_, v) in enumerate(kinds):
+        m = M.train([(t, w) for j, t, w in rows if j != k], rounds=60)
+        (_, _, score, _), = M.Tagger(m).judge(pa.array([t for j, t, _ in rows if j == k]))
+        right += ((score >= 0.5) == (v != "clean")).mean()
+    assert right >= 0.75 * len(kinds)
