@@ -14,7 +14,7 @@ decide what is a span.
 
 Two more features come from counts over all documents, without labels: common words (a share of all
 places, hardly ever in a sentence with a seed word other than themselves; none that only bad
-examples hold) and literally repeated sentences that hold a strong word. What a noticeable share
+examples hold, unless it is too frequent for that) and literally repeated sentences that hold a strong word. What a noticeable share
 of all documents repeats is boilerplate; how much that weighs is learnt from the judged passages,
 whose sentences are looked up alike.
 
@@ -150,7 +150,8 @@ class Reader:
         odd = odd or bool(not body.isascii() and re.search(r"[A-Za-z]", body) and (any(unicodedata.category(c) == "Cf" for c in body) or any(c in ALIKE and ord(c) > 0x3ff for c in body.casefold())))
         if any(c.isdigit() for c in core) and not odd:
             core = re.sub(r"\d+", "0", core)
-        return core, self.classes.get(core, 0), odd, core in self.background, ends
+        usual = core in self.background and not odd
+        return core, 0 if usual else self.classes.get(core, 0), odd, core in self.background, ends  # a seed word that is common here is none
 
 
 def token_starts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -219,6 +220,7 @@ class Background:
     words: frozenset[str] = frozenset()
     formulas: dict[int, int] = field(default_factory=dict)
     watched: frozenset[str] = frozenset()
+    frequent: frozenset[str] = frozenset()  # of the words, those so common that no kind of passage could account for them
 
 
 def watched_words(examples: list[tuple[str, str]]) -> frozenset[str]:
@@ -329,7 +331,7 @@ def train(examples: list[tuple[str, str]], corpus: Background = Background(), ro
     # words that only bad sentences hold are read through odd spellings as well
     good = {t[0] for s, v in labelled if v == 0 for t in s}
     often = Counter(t[0] for s, v in labelled if v for t in s)
-    background -= {w for w in often if w not in good}  # however frequent
+    background -= {w for w in often if w not in good} - corpus.frequent  # repeats alone do not clear a word
     reader.background = background
     for w, n in often.items():
         if w not in good and n > 1 and len(w) > 3 and w.isalpha() and not _CJK.match(w):
@@ -560,7 +562,7 @@ class Tagger:
 
 
 class Counting:
-    """Counts, for every form, the places it has and those in whose sentence another place holds a seed word."""
+    """Counts, for every form, the places it has and those in whose sentence there is another seed word."""
 
     def __init__(self, watched: frozenset[str] = frozenset()) -> None:
         self.reader, self.watch = Reader(), watched
@@ -575,7 +577,8 @@ class Counting:
     def _clear(self) -> None:
         self.forms: list[str] = []
         self.ends, self.seed, self.watched = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
-        self.n, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.n, self.bad, self.form = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids: dict[str, int] = {}
 
     def _forget(self) -> None:
         self.settle()
@@ -595,6 +598,7 @@ class Counting:
         self.forms += [g[0] for g in got]
         self.ends = np.concatenate([self.ends, np.array([g[4] for g in got], bool)])
         self.seed = np.concatenate([self.seed, np.array([STRONG[0] <= g[1] <= STRONG[1] or g[2] for g in got], bool)])
+        self.form = np.concatenate([self.form, np.array([self.ids.setdefault(g[0], len(self.ids)) for g in got], np.int64)])
         self.watched = np.concatenate([self.watched, np.array([g[0] in self.watch for g in got], bool)])
         self.n, self.bad = (np.concatenate([x, np.zeros(len(got), np.int64)]) for x in (self.n, self.bad))
 
@@ -611,7 +615,8 @@ class Counting:
             pair[:-1] |= pair[1:]  # both characters of a two-character word
             seed = self.seed[number] | pair
             sentence = np.cumsum(cut) - 1
-            others = np.bincount(sentence, seed)[sentence] - seed  # no place is a seed of its own
+            _, one = np.unique(sentence[seed] * np.int64(len(self.ids) + 1) + self.form[number[seed]], return_index=True)  # a form counts once a sentence
+            others = np.bincount(sentence[seed][one], minlength=sentence[-1] + 1)[sentence] - seed  # no form is a seed of its own
             others[pair] = 1
             self.n += np.bincount(number, minlength=len(self.n))
             self.bad += np.bincount(number[others > 0], minlength=len(self.n))
@@ -622,9 +627,10 @@ class Counting:
                 self.repeated[k] += 1  # once a document
 
 
-def corpus_background(df: DataFrame, text: str = "text", watched: frozenset[str] = frozenset(), rate: float = 0.01, share: float = 1e-6) -> Background:
+def corpus_background(df: DataFrame, text: str = "text", watched: frozenset[str] = frozenset(), rate: float = 0.01, share: float = 1e-6, frequent: float = 1e-4) -> Background:
     """Common words: forms in at least ``share`` of all places of which less than ``rate`` share a sentence with a seed word
-    other than themselves. Repeated sentences: those with a seed or watched word, by the share of documents that hold them.
+    other than themselves; those with a share of ``frequent`` stay common even if only bad examples hold them (their part of all
+    text is too large for that). Repeated sentences: those with a seed or watched word, by the share of documents that hold them.
 
     Counted over all texts, added up per task and then by Spark. No more than 1 / ``share`` forms reach that share, and no
     more than 4096 times the seeded sentences of an average document reach the lowest level, so what the driver gets is bounded."""
@@ -651,11 +657,11 @@ def corpus_background(df: DataFrame, text: str = "text", watched: frozenset[str]
     counted = df.select(text).mapInArrow(run, schema).groupBy("kind", "form", "hash").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).persist()
     whole = counted.where("kind = 0").first()
     places, documents = (whole["n"], whole["bad"]) if whole else (0, 0)
-    words = counted.where((F.col("kind") == 1) & (F.col("n") >= share * places) & (F.col("bad") < rate * F.col("n"))).select("form").collect()
+    words = counted.where((F.col("kind") == 1) & (F.col("n") >= share * places) & (F.col("bad") < rate * F.col("n"))).select("form", "n").collect()
     often = counted.where((F.col("kind") == 2) & (F.col("n") >= documents / 4096)).select("hash", "n").collect()
     counted.unpersist()
     levels = level(np.array([r["n"] for r in often], float), documents)
-    return Background(frozenset(r["form"] for r in words), {r["hash"]: int(v) for r, v in zip(often, levels) if v}, watched)
+    return Background(frozenset(r["form"] for r in words), {r["hash"]: int(v) for r, v in zip(often, levels) if v}, watched, frozenset(r["form"] for r in words if r["n"] >= frequent * places))
 
 
 _models: dict[tuple, Model | None] = {}

@@ -97,6 +97,9 @@ def test_background_follows_the_corpus_and_spares_bad_words(spark):
     examples = [(CLEAN[i % 5].format(i), "clean") for i in range(20)] + [("You gormless twit.", "abusive")] * 3
     model = M.train(examples, M.Background(frozenset(["valve", "gormless"])), rounds=5)
     assert model.reader.background == {"valve"}
+    model = M.train(examples, M.Background(frozenset(["valve", "gormless"]), frequent=frozenset(["gormless"])), rounds=5)
+    assert model.reader.background == {"valve", "gormless"}
+    assert M.Reader(background=frozenset(["bleed"])).read("bleed")[1] == 0 != M.Reader().read("bleed")[1]
 
 
 def test_no_place_is_its_own_seed(spark):
