@@ -178,9 +178,31 @@ def crc32_hex(c: Column) -> Column:
 
 
 def range_text(low: Column, high: Column) -> Column:
-    """A range with whole numbers as such and others with two decimals."""
+    """A range with whole numbers as such and others with two decimals; equal ends are one number."""
     one = lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.format_string("%.2f", x))
-    return F.concat(one(low), F.lit("–"), one(high))
+    return F.when(low == high, one(low)).otherwise(F.concat(one(low), F.lit("–"), one(high)))
+
+
+def two_decimals(x: Column) -> Column:
+    return F.format_string("%.2f", x)
+
+
+def step_seconds(steps: Column) -> Column:
+    """Simulated time of a number of steps."""
+    return F.format_string("%.1fs", steps / TIME_STEP)
+
+
+def verdict_text(verdict_: Column, pca: Column, layout: Column) -> Column:
+    """The sentence shown for a verdict (fixed wording)."""
+    return (
+        F.when(verdict_ == "insufficient-variance", "No variation in the data you mapped — there's nothing here for either view to separate.")
+        .when(verdict_ == "stronger", F.concat(
+            F.lit("Physics separates this data better than the best 2-axis view ("), two_decimals(layout), F.lit(" vs "), two_decimals(pca),
+            F.lit(") — these columns are doing joint work no single scatter plot shows.")))
+        .otherwise(F.concat(
+            F.lit("No meaningful gain over a 2-axis view (silhouette "), two_decimals(layout), F.lit(" vs "), two_decimals(pca),
+            F.lit(") — a scatter plot would show you the same thing.")))
+    )
 
 
 def export_name(product: Column, seed: Column, step: Column, unstable: Column, converged: Column) -> Column:

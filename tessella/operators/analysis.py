@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.scalars import range_text
+from tessella.functions.scalars import range_text, verdict_text
 from tessella.operators.pairs import block_pairs
 
 # Fixed values
@@ -64,19 +64,30 @@ def results(positions: DataFrame, features: DataFrame, columns: list[str], k: in
     summary = cluster_summary(features.join(labels, "row_idx"), "cluster", columns)
     packed = summary.agg(F.count("*").alias("cluster_count"), F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("_o"), "cluster", "size", "defining_columns"))).alias("clusters"))
     packed = packed.withColumn("clusters", F.transform("clusters", lambda c: F.struct(c["cluster"].alias("index"), c["size"].alias("size"), c["defining_columns"].alias("defining_columns"))))
-    odd = outliers(positions, "row_idx", ["x", "y"]).agg(F.array_sort(F.collect_list("row_idx")).alias("outlier_row_indices"))
-    return packed.join(F.broadcast(odd))
+    odd = outliers(positions, "row_idx", ["x", "y"]).agg(F.array_sort(F.collect_list("row_idx")).alias("outlier_row_indices"))  # of a row budget at most
+    return packed.join(odd)
 
 
 def report(summary: DataFrame) -> DataFrame:
-    """One sentence per cluster: its size and the ranges of its defining columns."""
+    """One line per cluster: its rows and the ranges of its defining columns (fixed wording)."""
     parts = F.transform("defining_columns", lambda c: F.concat(c["name"], F.lit(" "), range_text(c["min"], c["max"])))
-    return summary.select("cluster", F.concat(F.lit("Cluster of "), F.format_number("size", 0), F.lit(" rows: "), F.array_join(parts, ", ")).alias("line"))
-
-
-def outlier_list(odd: DataFrame, key: str, shown: int = SHOWN_OUTLIERS) -> DataFrame:
-    """The first outlying rows as text, counted from 1, with dots if there are more."""
-    ranked = odd.select(F.col(key).alias("i")).orderBy("i").limit(shown + 1)
-    listed = ranked.agg(F.array_sort(F.collect_list("i")).alias("a"))
-    text = F.array_join(F.transform(F.slice("a", 1, shown), lambda i: (i + 1).cast("string")), ", ")
-    return listed.select(F.concat(text, F.when(F.size("a") > shown, ", …").otherwise("")).alias("line"))
+    defined = F.when(F.size("defining_columns") > 0, F.concat(F.lit(" — defined by "), F.array_join(parts, ", "))).otherwise("")
+    return summary.select("cluster", F.concat(F.col("size").cast("string"), F.lit(" rows"), defined).alias("line"))
+
+
+def outlier_text(odd: DataFrame, key: str, shown: int = SHOWN_OUTLIERS) -> DataFrame:
+    """One sentence: how many rows stand out and the first of them, counted from 1. Only ``shown`` rows leave their partitions."""
+    first = odd.select(F.col(key).alias("i")).orderBy("i").limit(shown).agg(F.array_sort(F.collect_list("i")).alias("a"))
+    both = odd.agg(F.count("*").alias("n")).join(F.broadcast(first))
+    listed = F.array_join(F.transform("a", lambda i: F.concat(F.lit("row "), (i + 1).cast("string"))), ", ")
+    many = F.concat(F.col("n").cast("string"), F.lit(" outlier row"), F.when(F.col("n") == 1, "").otherwise("s"), F.lit(": "), listed, F.when(F.col("n") > shown, ", …").otherwise(""), F.lit("."))
+    return both.select(F.when(F.col("n") == 0, "No outliers — every row fits its cluster better than any other.").otherwise(many).alias("line"))
+
+
+def full_report(summary: DataFrame, gain: DataFrame, odd: DataFrame, key: str = "row_idx") -> DataFrame:
+    """(place, line): the verdict, the number of clusters, a line for each, the outliers."""
+    head = gain.select(F.lit(0).cast("long").alias("place"), verdict_text(F.col("verdict"), F.col("pca2d_silhouette"), F.col("physics_silhouette")).alias("line"))
+    count = summary.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(1).cast("long").alias("place"), F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " cluster").otherwise(" clusters"), F.lit(" found, largest first:")).alias("line"))
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "cluster"))  # one row per cluster
+    lines = report(summary).join(summary.select("cluster", (rank + 1).cast("long").alias("place")), "cluster").select("place", "line")
+    return head.unionByName(count).unionByName(lines).unionByName(outlier_text(odd, key).select(F.lit(1 << 40).alias("place"), "line"))

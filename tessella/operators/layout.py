@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.operators.normalize import encode_categorical, minmax_norm, rank_norm
+from tessella.operators.normalize import MISSING, encode_categorical, minmax_norm, rank_norm
 from tessella.operators.pairs import block_pairs
 
 
@@ -44,27 +44,33 @@ class FieldSpec:
     charge: str | None = None
     charge_is_category: bool = True
     viscosity: list[tuple[str, str]] | None = None
+    charge_how: str = "rank"
 
 
-def _normalised(df: DataFrame, column: str, how: str, out: str, order: str, categorical: set[str]) -> DataFrame:
+def _normalised(df: DataFrame, column: str, how: str, out: str, order: str, categorical: set[str], coded: bool) -> DataFrame:
+    """A number in [0, 1]. Categories are placed by their code where ``coded``, else they say nothing (0.5)."""
     if column in categorical:
-        return encode_categorical(df, column, order, prefix=f"{out}_").withColumn(out, F.lit(0.5)).drop(f"{out}_code", f"{out}_encoded", f"{out}_charge")
+        if not coded:
+            return df.withColumn(out, F.lit(MISSING))
+        return encode_categorical(df, column, order, prefix=f"{out}_").withColumn(out, F.col(f"{out}_encoded")).drop(f"{out}_code", f"{out}_encoded", f"{out}_charge")
     return rank_norm(df, column, out) if how == "rank" else minmax_norm(df, column, out)
 
 
 def force_field(df: DataFrame, row: str, spec: FieldSpec, categorical: set[str] = frozenset()) -> DataFrame:
-    """Mass is the remapped average of its columns, each attraction column a dimension of its own, charge one column, viscosity an average."""
+    """Mass is the remapped average of its columns, each attraction column a dimension of its own, charge one column, viscosity an average.
+
+    A category has no amount, so it leaves mass and attraction neutral; charge and viscosity take its code."""
     t, names = df, {"mass": [], "attraction": [], "viscosity": []}
     for kind in names:
         for i, (c, how) in enumerate(getattr(spec, kind) or []):
             out = f"_{kind}{i}"
-            t = _normalised(t, c, how, out, row, categorical)
+            t = _normalised(t, c, how, out, row, categorical, kind == "viscosity")
             names[kind].append(out)
     if spec.charge and spec.charge_is_category:
         t = encode_categorical(t, spec.charge, row, prefix="_c_")
         charge: Column = F.col("_c_charge")
     elif spec.charge:
-        t = rank_norm(t, spec.charge, "_c")
+        t = _normalised(t, spec.charge, spec.charge_how, "_c", row, set(), False)
         charge = S.charge_of(F.col("_c"))
     else:
         charge = F.lit(0.0)
@@ -85,22 +91,30 @@ def place(df: DataFrame, seed: Column, row: str = "row_idx", own_stream: Column
     return df.withColumn("x", r * F.cos(angle)).withColumn("y", r * F.sin(angle))
 
 
+def pair_terms(charge: np.ndarray, attraction: np.ndarray, ocharge: np.ndarray, oattraction: np.ndarray, f: Forces) -> tuple[np.ndarray, np.ndarray]:
+    """What two blocks' pair forces owe to attraction (times the rest length) and to charge; neither depends on positions."""
+    far, near = np.zeros((len(charge), len(ocharge))), np.zeros((len(charge), len(ocharge)))
+    dims = attraction.shape[1]
+    if f.attraction and dims:
+        for d in range(dims):
+            far += (attraction[:, None, d] - oattraction[None, :, d]) ** 2
+        far /= dims
+        np.sqrt(far, out=far)
+        far *= f.attraction * f.rest_length
+    if f.charge:
+        gap = np.abs(charge[:, None] - ocharge[None])
+        near = np.where(gap == 0, -f.same_charge, np.maximum(gap, f.least_charge)) * f.charge
+    return far, near
+
+
 def pair_forces(x: np.ndarray, y: np.ndarray, charge: np.ndarray, attraction: np.ndarray, ox: np.ndarray, oy: np.ndarray, ocharge: np.ndarray, oattraction: np.ndarray, heat: float, f: Forces) -> tuple[np.ndarray, np.ndarray]:
     """Force on each point from all others of a block, before division by mass; coincident points exert none."""
     dx, dy = x[:, None] - ox[None], y[:, None] - oy[None]
     r2 = dx * dx + dy * dy
     r = np.maximum(np.sqrt(r2), 1e-6)
-    push = np.zeros_like(r)
-    if f.attraction:
-        dims = attraction.shape[1]
-        if dims:
-            unlike = np.sqrt(np.maximum((attraction**2).sum(1)[:, None] - 2 * attraction @ oattraction.T + (oattraction**2).sum(1)[None], 0) / dims)
-        else:
-            unlike = 0.0
-        push -= f.attraction * heat * (r - f.rest_length * unlike)
-    if f.charge:
-        gap = np.abs(charge[:, None] - ocharge[None])
-        push += np.where(gap == 0, -f.same_charge, np.maximum(gap, f.least_charge)) * f.charge * heat / (r2 + 1)
+    far, push = pair_terms(charge, attraction, ocharge, oattraction, f)
+    push = push / (r2 + 1) + far - f.attraction * r
+    push *= heat
     near = np.clip((f.collision_radius - r) / f.collision_radius, 0, None)
     push += f.collision * near * near
     push /= r

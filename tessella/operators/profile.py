@@ -17,14 +17,15 @@ STRATEGY = "median-rank"
 FORCE_ROLES = ["mass", "charge", "attraction", "viscosity", "spring-anchor"]
 
 
-WHOLE, REAL = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
+WHOLE, REAL, DAYS = ("tinyint", "smallint", "int", "bigint"), ("float", "double"), ("date", "timestamp", "timestamp_ntz")
 
 
 def melt(df: DataFrame) -> DataFrame:
-    """(ordinal, name, whole, real, value) of every cell: numbers stay numbers, all else is text; blanks are null."""
+    """(ordinal, name, whole, real, value) of every cell: numbers stay numbers, dates are written with a T before the time, all else
+    is text; blanks are null."""
     def cell(i: int, c: str, kind: str) -> Column:
         x = F.col(f"`{c}`")
-        text = x.cast("string")
+        text = F.translate(x.cast("string"), " ", "T") if kind in DAYS else x.cast("string")
         return F.struct(
             F.lit(i).alias("ordinal"), F.lit(c).alias("name"), (x.cast("long") if kind in WHOLE else F.lit(None).cast("long")).alias("whole"),
             (F.when(~F.isnan(x), x.cast("double")) if kind in REAL else F.lit(None).cast("double")).alias("real"),
@@ -122,11 +123,16 @@ def with_normalization(mapped: DataFrame, ordinal: int, kind: str) -> DataFrame:
 
 
 def usable(mapped: DataFrame) -> DataFrame:
-    """One row: whether any column carries a force, and why each does not."""
-    return mapped.agg(
-        F.coalesce(F.bool_or(F.col("role").isin(FORCE_ROLES)), F.lit(False)).alias("is_usable"),
-        F.array_sort(F.collect_list(F.struct("ordinal", "name", "inferred_type", "role"))).alias("seen_columns"),
+    """One row: whether any column carries a force, a message if none does, and for every column why it carries none (null: it does)."""
+    carries = F.col("role").isin(FORCE_ROLES)
+    reason = F.when(carries, F.lit(None).cast("string")).when(F.col("inferred_type") == "id-like", "high-cardinality / id-like — offered only as a row label").otherwise(
+        F.concat(F.lit("inferred "), F.col("inferred_type"), F.lit(", not a usable force role")))
+    seen = mapped.agg(
+        F.coalesce(F.bool_or(carries), F.lit(False)).alias("is_usable"),
+        F.array_sort(F.collect_list(F.struct("ordinal", "name", "inferred_type", "role", reason.alias("reason")))).alias("seen_columns"),
     )
+    told = F.array_join(F.transform("seen_columns", lambda c: F.concat(c["name"], F.lit(": "), c["reason"])), "; ")
+    return seen.withColumn("message", F.when(~F.col("is_usable"), told))
 
 
 def force_columns(mapped: DataFrame) -> DataFrame:

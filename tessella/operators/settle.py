@@ -1,8 +1,11 @@
 """Iteration of layouts to a debounced fixpoint: one vectorised task per layout.
 
 Steps depend on each other, so parallelism is across layouts; inside one, pair forces run in numpy
-tiles of bounded memory. Rows are put into content order first, so their order in the input does
-not change the result."""
+tiles of bounded memory. What a pair's force owes to charge and attraction does not change, so it is
+worked out once for layouts of up to ``KEPT`` rows, and each pair is visited once for both ends.
+Above ``GRID_ROWS`` rows only rows of neighbouring grid cells act on each other, so a step is no
+longer quadratic. Rows are put into content order first, so their order in the input does not change
+the result."""
 
 from __future__ import annotations
 
@@ -14,14 +17,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.scalars import HALF_LIFE, SPEED_LIMIT, TEMPERATURE_FLOOR, TIME_STEP
-from tessella.operators.layout import Forces, pair_forces
+from tessella.functions.scalars import GRID_CELL, GRID_SHIFT, GRID_SIDE, HALF_LIFE, SPEED_LIMIT, TEMPERATURE_FLOOR, TIME_STEP
+from tessella.operators.layout import Forces, pair_forces, pair_terms
 
 # Fixed values of convergence detection.
 WINDOW, DEBOUNCE, STILLNESS, LEAST_DIAGONAL, HISTORY = 30, 45, 0.0015, 1.0, 120
+#: More rows than this meet in grid cells only (fixed value); up to KEPT rows the pair terms stay in memory (2 x 8 bytes a pair).
+GRID_ROWS, KEPT, TILE = 5000, 2500, 256
 STATE = "layout_id long, row_idx long, x double, y double, vx double, vy double, step int, converged boolean, unstable boolean"
 
 
+TRACE = "layout_id long, step int, speed double, diagonal double, quiet_run int, converged boolean"
+
+
 @dataclass
 class Detector:
     """Still once the mean speed of the last WINDOW steps has stayed low for DEBOUNCE checks in a row."""
@@ -36,21 +44,90 @@ class Detector:
         return self.quiet >= DEBOUNCE
 
 
-def run(x: np.ndarray, v: np.ndarray, mass: np.ndarray, charge: np.ndarray, viscosity: np.ndarray, attraction: np.ndarray, forces: Forces, max_steps: int, edges: np.ndarray | None = None, tile: int = 1024, start_step: int = 0) -> dict:
-    """Positions and velocities at the fixpoint, with the step count, flags and the last speeds."""
-    detector, speeds = Detector(), deque(maxlen=HISTORY)
+class AllPairs:
+    """Forces of all pairs. The part of the attraction that is linear in distance needs no pairs at all."""
+
+    def __init__(self, charge: np.ndarray, attraction: np.ndarray, forces: Forces):
+        self.charge, self.attraction, self.f, self.n = charge, attraction, forces, len(charge)
+        self.kept = pair_terms(charge, attraction, charge, attraction, forces) if self.n <= KEPT else None
+        self.room = [np.empty((TILE, TILE)) for _ in range(3)]
+
+    def _terms(self, i: slice, j: slice) -> tuple[np.ndarray, np.ndarray]:
+        if self.kept is not None:
+            return self.kept[0][i, j], self.kept[1][i, j]
+        return pair_terms(self.charge[i], self.attraction[i], self.charge[j], self.attraction[j], self.f)
+
+    def __call__(self, x: np.ndarray, heat: float) -> np.ndarray:
+        f = self.f
+        ends = np.column_stack([x, np.ones(self.n)])  # positions and a one: a product with the weights gives both sums
+        sums = np.zeros((self.n, 3))
+        for a in range(0, self.n, TILE):
+            i = slice(a, min(a + TILE, self.n))
+            for b in range(a, self.n, TILE):
+                j = slice(b, min(b + TILE, self.n))
+                r2, t, w = (m[:i.stop - i.start, :j.stop - j.start] for m in self.room)
+                np.subtract.outer(x[i, 0], x[j, 0], out=r2)
+                np.multiply(r2, r2, out=r2)
+                np.subtract.outer(x[i, 1], x[j, 1], out=t)
+                np.multiply(t, t, out=t)
+                r2 += t
+                far, near_charge = self._terms(i, j)
+                np.add(r2, 1.0, out=t)
+                np.divide(near_charge, t, out=w)
+                w += far
+                w *= heat
+                at = np.nonzero(r2 < f.collision_radius**2)
+                np.sqrt(r2, out=t)
+                np.maximum(t, 1e-6, out=t)
+                gap = (f.collision_radius - t[at]) / f.collision_radius
+                w[at] += f.collision * gap * gap
+                w /= t
+                w[at] = np.where(r2[at] == 0, 0.0, w[at])  # a row and itself, or coincident rows
+                sums[i] += w @ ends[j]
+                if b > a:
+                    sums[j] += w.T @ ends[i]
+        force = x * sums[:, 2:] - sums[:, :2]
+        return force - f.attraction * heat * (self.n * x - x.sum(0)) if f.attraction else force
+
+
+class NearCells:
+    """Forces among rows of the 3 x 3 grid cells around each row's own."""
+
+    def __init__(self, charge: np.ndarray, attraction: np.ndarray, forces: Forces, block: int = 1024):
+        self.charge, self.attraction, self.f, self.block = charge, attraction, forces, block
+
+    def __call__(self, x: np.ndarray, heat: float) -> np.ndarray:
+        cell = np.clip(np.floor((x + GRID_SHIFT) / GRID_CELL), 0, GRID_SIDE - 1).astype(np.int64)
+        number = cell[:, 1] * GRID_SIDE + cell[:, 0]
+        order = np.argsort(number, kind="stable")
+        edge = np.searchsorted(number[order], np.arange(GRID_SIDE * GRID_SIDE + 1))
+        force = np.zeros_like(x)
+        for c in np.flatnonzero(np.diff(edge)):
+            cy, cx = divmod(int(c), GRID_SIDE)
+            around = [y * GRID_SIDE + z for y in range(max(cy - 1, 0), min(cy + 2, GRID_SIDE)) for z in range(max(cx - 1, 0), min(cx + 2, GRID_SIDE))]
+            other = np.concatenate([order[edge[k]:edge[k + 1]] for k in around])
+            mine = order[edge[c]:edge[c + 1]]
+            for s in range(0, len(mine), self.block):
+                own = mine[s:s + self.block]
+                for t in range(0, len(other), 4 * self.block):
+                    o = other[t:t + 4 * self.block]
+                    fx, fy = pair_forces(x[own, 0], x[own, 1], self.charge[own], self.attraction[own], x[o, 0], x[o, 1], self.charge[o], self.attraction[o], heat, self.f)
+                    force[own, 0] += fx
+                    force[own, 1] += fy
+        return force
+
+
+def run(x: np.ndarray, v: np.ndarray, mass: np.ndarray, charge: np.ndarray, viscosity: np.ndarray, attraction: np.ndarray, forces: Forces, max_steps: int, edges: np.ndarray | None = None, start_step: int = 0, grid_rows: int = GRID_ROWS) -> dict:
+    """Positions and velocities at the fixpoint, with the step count, flags, and per step mean speed, diagonal and quiet run."""
+    detector, trace = Detector(), []
     n, step, converged, unstable = len(x), start_step, False, False
     if n <= 1:
-        return {"x": x, "v": v, "step": step, "converged": True, "unstable": False, "speeds": []}
+        return {"x": x, "v": v, "step": step, "converged": True, "unstable": False, "trace": trace}
     damp = (1 - np.minimum(0.98, forces.viscosity + 0.5 * viscosity))[:, None]
+    pairs = NearCells(charge, attraction, forces) if n > grid_rows else AllPairs(charge, attraction, forces)
     while not converged and not unstable and step < max_steps:
         heat = TEMPERATURE_FLOOR + (1 - TEMPERATURE_FLOOR) * 0.5 ** (step / HALF_LIFE)
-        force = -forces.centering * x
-        for s in range(0, n, tile):
-            part = slice(s, s + tile)
-            fx, fy = pair_forces(x[part, 0], x[part, 1], charge[part], attraction[part], x[:, 0], x[:, 1], charge, attraction, heat, forces)
-            force[part, 0] += fx
-            force[part, 1] += fy
+        force = pairs(x, heat) - forces.centering * x
         if edges is not None and len(edges) and forces.spring:
             gap = x[edges[:, 1]] - x[edges[:, 0]]
             r = np.maximum(np.sqrt((gap**2).sum(1)), 1e-6)[:, None]
@@ -66,36 +143,53 @@ def run(x: np.ndarray, v: np.ndarray, mass: np.ndarray, charge: np.ndarray, visc
             unstable = True  # the last sound frame stays
             break
         x, v = nx, nv
-        mean = float(np.minimum(speed, SPEED_LIMIT).mean())
-        speeds.append(mean)
-        converged = detector.push(mean, float(np.hypot(*np.ptp(x, axis=0))))
-    return {"x": x, "v": v, "step": step, "converged": converged, "unstable": unstable, "speeds": list(speeds)}
+        mean, diagonal = float(np.minimum(speed, SPEED_LIMIT).mean()), float(np.hypot(*np.ptp(x, axis=0)))
+        converged = detector.push(mean, diagonal)
+        trace.append((step, mean, diagonal, detector.quiet, converged))
+    return {"x": x, "v": v, "step": step, "converged": converged, "unstable": unstable, "trace": trace}
 
 
-def settle(state: DataFrame, forces: Forces = Forces(), max_steps: int = 8000, edges: DataFrame | None = None) -> DataFrame:
-    """``state``: layout_id, row_idx, mass, charge, viscosity, attraction, x, y (and vx, vy). Returns STATE."""
-    if "vx" not in state.columns:
-        state = state.withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
+def _kernel(pdf: pd.DataFrame, forces: Forces, max_steps: int, links: pd.DataFrame | None = None, grid_rows: int = GRID_ROWS) -> tuple[pd.DataFrame, dict]:
+    """One layout's rows in content order, and its run."""
+    pdf = pdf.assign(_a=[tuple(a) for a in pdf["attraction"]]).sort_values(["mass", "charge", "viscosity", "_a", "x", "y", "row_idx"], kind="stable")
+    e = None
+    if links is not None and len(links):
+        number = {r: i for i, r in enumerate(pdf["row_idx"])}
+        e = np.array([(number[a], number[b]) for a, b in zip(links["src"], links["dst"]) if a != b and a in number and b in number], int).reshape(-1, 2)
+    return pdf, run(
+        pdf[["x", "y"]].to_numpy(float), pdf[["vx", "vy"]].to_numpy(float), pdf["mass"].to_numpy(float), pdf["charge"].to_numpy(float), pdf["viscosity"].to_numpy(float),
+        np.array(pdf["attraction"].tolist(), float).reshape(len(pdf), -1), forces, max_steps, e, grid_rows=grid_rows,
+    )
+
+
+def _at_rest(state: DataFrame) -> DataFrame:
+    return state if "vx" in state.columns else state.withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
 
+
+def settle(state: DataFrame, forces: Forces = Forces(), max_steps: int = 8000, edges: DataFrame | None = None, grid_rows: int = GRID_ROWS) -> DataFrame:
+    """``state``: layout_id, row_idx, mass, charge, viscosity, attraction, x, y (and vx, vy). Returns STATE."""
     def one(pdf: pd.DataFrame, links: pd.DataFrame | None = None) -> pd.DataFrame:
-        pdf = pdf.assign(_a=[tuple(a) for a in pdf["attraction"]]).sort_values(["mass", "charge", "viscosity", "_a", "x", "y", "row_idx"], kind="stable")
-        number = {r: i for i, r in enumerate(pdf["row_idx"])}
-        e = None
-        if links is not None and len(links):
-            e = np.array([(number[a], number[b]) for a, b in zip(links["src"], links["dst"]) if a != b and a in number and b in number], int).reshape(-1, 2)
-        got = run(
-            pdf[["x", "y"]].to_numpy(float), pdf[["vx", "vy"]].to_numpy(float), pdf["mass"].to_numpy(float), pdf["charge"].to_numpy(float), pdf["viscosity"].to_numpy(float),
-            np.array(pdf["attraction"].tolist(), float).reshape(len(pdf), -1), forces, max_steps, e,
-        )
+        pdf, got = _kernel(pdf, forces, max_steps, links, grid_rows)
         return pd.DataFrame({
             "layout_id": pdf["layout_id"].to_numpy(), "row_idx": pdf["row_idx"].to_numpy(), "x": got["x"][:, 0], "y": got["x"][:, 1], "vx": got["v"][:, 0], "vy": got["v"][:, 1],
             "step": np.int32(got["step"]), "converged": got["converged"], "unstable": got["unstable"],
         })
+    state = _at_rest(state)
     if edges is None:
         return state.groupBy("layout_id").applyInPandas(lambda pdf: one(pdf), STATE)
     return state.groupBy("layout_id").cogroup(edges.groupBy("layout_id")).applyInPandas(lambda a, b: one(a, b) if len(a) else pd.DataFrame(columns=[f.split()[0] for f in STATE.split(", ")]), STATE)
 
 
+def step_trace(state: DataFrame, forces: Forces = Forces(), max_steps: int = 8000, last: int | None = HISTORY) -> DataFrame:
+    """TRACE of each layout: mean speed, diagonal and quiet run of its ``last`` steps (None: of all). A layout of one row has no steps."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _kernel(pdf, forces, max_steps)[1]["trace"]
+        out = pd.DataFrame(rows[-last:] if last else rows, columns=["step", "speed", "diagonal", "quiet_run", "converged"])
+        out.insert(0, "layout_id", pdf["layout_id"].iloc[0])
+        return out
+    return _at_rest(state).groupBy("layout_id").applyInPandas(one, TRACE)
+
+
 def perturb(state: DataFrame, row_idx: int, dx: float, dy: float) -> DataFrame:
     """Moves one row; speeds stay. Settling again starts a fresh detector."""
     at = F.col("row_idx") == row_idx

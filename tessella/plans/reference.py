@@ -55,12 +55,12 @@ def type_inference_part(spark, d):
     return profile.infer_types(table(spark, d, "part").select(*PART)).select("ordinal", "name", "inferred_type", F.round("variation", 6).alias("variation"))
 
 
-@query(f"SELECT ordinal, name, inferred_type FROM ({Q.typed('events', EVENTS)}) WHERE name <> 'ts'")
+@query(f"SELECT ordinal, name, inferred_type FROM ({Q.typed('events', EVENTS)})")
 def type_inference_events(spark, d):
-    return profile.infer_types(table(spark, d, "events").select(*EVENTS)).where("name <> 'ts'").select("ordinal", "name", "inferred_type")
+    return profile.infer_types(table(spark, d, "events").select(*EVENTS)).select("ordinal", "name", "inferred_type")
 
 
-_ROLE_COLUMNS = [c for c in LINEITEM if c != "l_shipdate"]
+_ROLE_COLUMNS = LINEITEM
 
 
 @query(f"SELECT ordinal, name, inferred_type, role, CASE WHEN role = 'attraction' THEN 'raw' ELSE 'rank' END AS normalization, missing AS missing_count FROM ({Q.roles('lineitem', _ROLE_COLUMNS)})")
@@ -76,9 +76,21 @@ def mapping_overrides(spark, d):
     return profile.with_normalization(profile.with_role(m, 4, "attraction"), 5, "raw").select("ordinal", "name", "role", "normalization")
 
 
-@query(f"""SELECT coalesce(bool_or(role IN ('mass', 'charge', 'attraction', 'viscosity', 'spring-anchor')), false) AS is_usable, count(*) AS n_columns FROM ({Q.roles('region', ['r_name'])})""")
+_REGIONS = "(SELECT 'key ' || r_regionkey AS r_regionkey, r_name FROM region) AS region"
+
+
+@query(f"""SELECT coalesce(bool_or(role IN ('mass', 'charge', 'attraction', 'viscosity', 'spring-anchor')), false) AS is_usable, count(*) AS n_columns,
+  string_agg(name || ': ' || CASE WHEN inferred_type = 'id-like' THEN 'high-cardinality / id-like — offered only as a row label' ELSE 'inferred ' || inferred_type || ', not a usable force role' END, '; ' ORDER BY ordinal) AS message
+  FROM ({Q.roles(_REGIONS, ['r_regionkey', 'r_name'])})""")
 def zero_usable_columns(spark, d):
-    return profile.usable(profile.mapping(table(spark, d, "region").select("r_name"))).select("is_usable", F.size("seen_columns").cast("long").alias("n_columns"))
+    """Both columns of the table are labels here: the key is written as a text."""
+    t = table(spark, d, "region").select(F.concat(F.lit("key "), F.col("r_regionkey").cast("string")).alias("r_regionkey"), "r_name")
+    return profile.usable(profile.mapping(t)).select("is_usable", F.size("seen_columns").cast("long").alias("n_columns"), "message")
+
+
+@query(f"SELECT ordinal, name, role FROM ({Q.roles('lineitem', _ROLE_COLUMNS)}) WHERE inferred_type = 'numeric' AND role IN ('mass', 'charge', 'attraction', 'viscosity')")
+def force_columns(spark, d):
+    return profile.force_columns(profile.mapping(table(spark, d, "lineitem").select(*_ROLE_COLUMNS))).select("ordinal", "name", "role")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round({Q.rank('l_extendedprice')}, 6) AS r FROM lineitem")
@@ -115,6 +127,30 @@ def force_field_lineitem(spark, d):
     return f.select("row_idx", r6("mass", "mass"), r6("charge", "charge"), r6("viscosity", "viscosity"), r6(F.col("attraction")[0], "a0"), r6(F.col("attraction")[1], "a1"))
 
 
+_STATUS = _FLAG + ", g AS (SELECT l_linestatus AS w, row_number() OVER (ORDER BY min(l_orderkey * 8 + l_linenumber)) - 1 AS place, count(*) OVER () AS m FROM lineitem GROUP BY 1)"
+
+
+@query(_STATUS + " SELECT l_orderkey * 8 + l_linenumber AS row_idx, 1.25 AS mass, round(2.0 * code / (k - 1.0) - 1, 6) + 0.0 AS charge, round(CASE WHEN m > 1 THEN place / (m - 1.0) ELSE 0.5 END, 6) AS viscosity, 0.5 AS a0 FROM lineitem JOIN e ON l_returnflag = v JOIN g ON l_linestatus = w")
+def force_field_categorical(spark, d):
+    """Categories as mass and attraction are neutral, as charge and viscosity they are coded."""
+    t = table(spark, d, "lineitem").withColumn("row_idx", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    spec = layout.FieldSpec([("l_returnflag", "rank")], [("l_linestatus", "raw")], "l_returnflag", True, [("l_linestatus", "rank")])
+    f = layout.force_field(t.select("row_idx", "l_returnflag", "l_linestatus"), "row_idx", spec, {"l_returnflag", "l_linestatus"})
+    return f.select("row_idx", r6("mass", "mass"), r6("charge", "charge"), r6("viscosity", "viscosity"), r6(F.col("attraction")[0], "a0"))
+
+
+@query("""SELECT c_custkey AS row_idx, 1.0 AS mass, round(2 * (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) - 1, 6) + 0.0 AS charge FROM customer""")
+def force_field_raw_charge(spark, d):
+    spec = layout.FieldSpec([], [], "c_acctbal", False, charge_how="raw")
+    return layout.force_field(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", spec).select("row_idx", "mass", r6("charge", "charge"))
+
+
+@query(f"SELECT c_custkey AS row_idx, 1.0 AS mass, round(2 * {Q.rank('c_acctbal')} - 1, 6) + 0.0 AS charge FROM customer")
+def force_field_rank_charge(spark, d):
+    spec = layout.FieldSpec([], [], "c_acctbal", False)
+    return layout.force_field(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", spec).select("row_idx", "mass", r6("charge", "charge"))
+
+
 @query(f"SELECT s_suppkey, round(u, 9) AS u FROM ({Q.draws('supplier', 's_suppkey', '7', 's_suppkey')})")
 def prng_uniform(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.round(S.uniform(F.lit(7), F.col("s_suppkey")), 9).alias("u"))
@@ -259,6 +295,26 @@ def one_full_step(spark, d):
     return layout.step(supplier_state(spark, d), 10).select("row_idx", *[r6(c, c) for c in ("x", "y", "vx", "vy")])
 
 
+_STARTED = _MOVED.format(Q.moved("{state}", Q.pair_step("{state}", "1.0", "{near}"))).replace(", 6)", ", 4)")
+
+
+def _settled(state: DataFrame, **options) -> DataFrame:
+    s = settle.settle(state.withColumn("layout_id", F.lit(0).cast("long")), max_steps=1, **options)
+    return s.select("row_idx", *[r6(c, c, 4) for c in ("x", "y", "vx", "vy")])
+
+
+@query(_STARTED.replace("{state}", Q.SUPPLIER_STATE).replace("{near}", "a.row_idx <> b.row_idx"))
+def settle_first_step(spark, d):
+    """The kernel's first step from all pairs."""
+    return _settled(supplier_state(spark, d))
+
+
+@query(_STARTED.replace("{state}", Q.PART_REST).replace("{near}", _NEAR))
+def settle_grid_step(spark, d):
+    """The kernel's first step as above the row limit of all pairs: neighbouring cells only."""
+    return _settled(part_state(spark, d).withColumn("viscosity", (F.col("row_idx") % 4) / 4.0), grid_rows=0)
+
+
 @query(f"SELECT round(sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2), 6) AS diagonal FROM ({Q.PART_STATE})")
 def bbox_diagonal(spark, d):
     return layout.extent(part_state(spark, d)).select(r6("diagonal", "diagonal"))
@@ -277,11 +333,14 @@ def viewport_fit(spark, d):
     return layout.viewport(part_state(spark, d), 800, 600).select(*[r6(c, c) for c in ("scale", "offset_x", "offset_y")])
 
 
-@query(f"SELECT row_idx, round(x * scale + 400 - mx * scale, 4) + 0.0 AS screen_x, round(y * scale + 300 - my * scale, 4) + 0.0 AS screen_y, ['{"', '".join(export.PALETTE)}'][CAST(row_idx % 6 + 1 AS INTEGER)] AS colour FROM ({Q.PART_STATE}), ({_VIEW})")
+@query(f"""SELECT row_idx, round(x * scale + 400 - mx * scale, 4) + 0.0 AS screen_x, round(y * scale + 300 - my * scale, 4) + 0.0 AS screen_y,
+  CASE WHEN row_idx % 7 = 0 THEN '#E8ECF3' WHEN (row_idx % 7 - 1) = 0 THEN '#7FB2F0' WHEN (row_idx % 7 - 1) = 1 THEN '#7BD88F' WHEN (row_idx % 7 - 1) = 2 THEN '#C79BF0' WHEN (row_idx % 7 - 1) = 3 THEN '#5FD3BC'
+    WHEN (row_idx % 7 - 1) = 4 THEN '#F2A14B' ELSE '#F2779B' END AS colour,
+  CASE WHEN row_idx % 50 = 0 THEN 1.0 ELSE 0.82 END AS alpha, CASE WHEN row_idx % 50 = 0 THEN '#F2A14B' END AS ring FROM ({Q.PART_STATE}), ({_VIEW})""")
 def world_to_screen(spark, d):
-    p = part_state(spark, d)
-    t = export.coloured(layout.to_screen(p, layout.viewport(p, 800, 600)), F.col("row_idx"))
-    return t.select("row_idx", r6("screen_x", "screen_x", 4), r6("screen_y", "screen_y", 4), "colour")
+    p, k = part_state(spark, d), F.col("row_idx")
+    t = export.coloured(layout.to_screen(p, layout.viewport(p, 800, 600)), k % 7 - 1, k % 50 == 0)
+    return t.select("row_idx", r6("screen_x", "screen_x", 4), r6("screen_y", "screen_y", 4), "colour", "alpha", "ring")
 
 
 _TRACE = "SELECT user_id AS layout_id, event_id AS step, value AS speed, 20000.0 + (user_id % 7) * 10000 AS diagonal FROM events"
@@ -394,9 +453,29 @@ def cluster_defining_columns(spark, d):
     return t.select("cluster", (F.col("place") + 1).cast("long").alias("place"), F.col("c.name").alias("name"), "size", r6("c.min", "lo", 4), r6("c.max", "hi", 4))
 
 
-@query(_DEFINING + """ SELECT cluster, 'Cluster of ' || format('{:,}', any_value(size)) || ' rows: ' || string_agg(name || ' ' || CASE WHEN lo = floor(lo) THEN CAST(CAST(lo AS BIGINT) AS VARCHAR) ELSE printf('%.2f', lo) END || '–' || CASE WHEN hi = floor(hi) THEN CAST(CAST(hi AS BIGINT) AS VARCHAR) ELSE printf('%.2f', hi) END, ', ' ORDER BY r) AS line FROM r WHERE r <= 2 GROUP BY cluster""")
+_END = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE printf('%.2f', {0}) END"
+
+
+@query(_DEFINING.replace("FROM part", "FROM (SELECT p_brand, p_size % 7 + 1 AS p_size, 900.5 AS p_retailprice, p_partkey FROM part)") + f""" SELECT cluster, any_value(size) || ' rows — defined by ' || string_agg(name || ' ' || CASE WHEN lo = hi THEN {_END.format('lo')} ELSE {_END.format('lo')} || '–' || {_END.format('hi')} END, ', ' ORDER BY r) AS line FROM r WHERE r <= 3 GROUP BY cluster""")
 def report_text(spark, d):
-    return analysis.report(analysis.cluster_summary(_brands(spark, d), "p_brand", ["p_size", "p_retailprice", "p_partkey"]))
+    """One column of the clusters has equal ends."""
+    t = _brands(spark, d).withColumn("p_size", F.col("p_size") % 7 + 1).withColumn("p_retailprice", F.lit(900.5))
+    return analysis.report(analysis.cluster_summary(t, "p_brand", ["p_size", "p_retailprice", "p_partkey"], top=3))
+
+
+@query(f"SELECT CASE WHEN count(*) = 0 THEN 'No outliers — every row fits its cluster better than any other.' ELSE count(*) || CASE WHEN count(*) = 1 THEN ' outlier row: ' ELSE ' outlier rows: ' END || string_agg('row ' || (s_suppkey + 1), ', ' ORDER BY s_suppkey) FILTER (place <= 20) || CASE WHEN count(*) > 20 THEN ', ….' ELSE '.' END END AS line FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS place FROM ({_NN}), (SELECT avg(nd) AS m, stddev_pop(nd) AS s, count(*) AS n FROM ({_NN})) WHERE n >= 3 AND s > 1e-9 AND nd > m + 2 * s)")
+def report_outliers(spark, d):
+    return analysis.outlier_text(analysis.outliers(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"]), "s_suppkey")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN 'No variation in the data you mapped — there''s nothing here for either view to separate.'
+  WHEN s_nationkey / 24.0 - 0.5 > 0.2 THEN 'Physics separates this data better than the best 2-axis view (' || printf('%.2f', floor(s_nationkey / 24.0 * 100 + 0.5) / 100) || ' vs 0.50) — these columns are doing joint work no single scatter plot shows.'
+  ELSE 'No meaningful gain over a 2-axis view (silhouette ' || printf('%.2f', floor(s_nationkey / 24.0 * 100 + 0.5) / 100) || ' vs 0.50) — a scatter plot would show you the same thing.' END AS line,
+  printf('%.1fs', floor(s_suppkey / 60.0 * 10 + 0.5) / 10) AS simulated FROM supplier""")
+def report_verdicts(spark, d):
+    n = F.col("s_nationkey")
+    named = S.verdict(F.lit(0.5), n / 24.0, n % 5 != 0)
+    return table(spark, d, "supplier").select("s_suppkey", S.verdict_text(named, F.lit(0.5), n / 24.0).alias("line"), S.step_seconds(F.col("s_suppkey")).alias("simulated"))
 
 
 _QUOTAS = "SELECT o_orderpriority, count(*) AS stratum_rows, CAST(greatest(1, floor(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM orders) * 500 + 0.5)) AS BIGINT) AS quota FROM orders GROUP BY 1"
@@ -442,13 +521,13 @@ def parse_number_cases(spark, d):
 @query("""SELECT s_suppkey, CAST(floor((s_nationkey / 24.0) * (greatest(25, 1) - 1) + 0.5) AS BIGINT) AS code, greatest(2, least(s_nationkey, greatest(2, least(12, 99)))) AS k, round(1 - least(CAST(0.98 AS DOUBLE), 0.06 + s_nationkey * CAST(0.05 AS DOUBLE)), 6) AS damp,
   CASE WHEN s_nationkey % 4 = 0 THEN 'static' WHEN s_nationkey % 3 = 0 THEN 'webgpu' WHEN s_nationkey % 2 = 0 THEN 'webgl2' ELSE 'static' END AS profile,
   CASE WHEN s_nationkey % 4 <> 0 AND s_nationkey % 3 = 0 THEN 50000 ELSE 2000 END AS budget,
-  CASE WHEN s_nationkey / 24.0 - 0.5 > 0.2 THEN 'stronger' ELSE 'no-meaningful-gain' END AS verdict, CASE WHEN s_nationkey % 2 = 0 THEN 'raw' ELSE 'rank' END AS normalization FROM supplier""")
+  CASE WHEN s_nationkey % 5 = 0 THEN 'insufficient-variance' WHEN s_nationkey / 24.0 - 0.5 > 0.2 THEN 'stronger' ELSE 'no-meaningful-gain' END AS verdict, CASE WHEN s_nationkey % 2 = 0 THEN 'raw' ELSE 'rank' END AS normalization FROM supplier""")
 def scalar_rules_supplier(spark, d):
     n = F.col("s_nationkey")
     p = S.execution_profile(n % 4 == 0, n % 3 == 0, n % 2 == 0)
     return table(spark, d, "supplier").select(
         "s_suppkey", S.category_code(n / 24.0, F.lit(25)).alias("code"), S.clamp_k(n, F.lit(100)).alias("k"), r6(S.damping(n * 0.1), "damp"), p.alias("profile"), S.row_budget(p).alias("budget"),
-        S.verdict(F.lit(0.5), n / 24.0).alias("verdict"), S.default_normalisation(F.when(n % 2 == 0, "attraction").otherwise("mass")).alias("normalization"),
+        S.verdict(F.lit(0.5), n / 24.0, n % 5 != 0).alias("verdict"), S.default_normalisation(F.when(n % 2 == 0, "attraction").otherwise("mass")).alias("normalization"),
     )
 
 
@@ -475,7 +554,8 @@ def csv_lines_events(spark, d):
     return t.select("event_id", F.concat_ws(",", F.col("event_id").cast("string"), F.col("event_type"), csv_text.cell_text(F.col("props"))).alias("line"))
 
 
-@query()
+@query("""SELECT n_name, printf('%08x', xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(n_name) + 1), lambda i: CAST(ascii(substr(n_name, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda e, z: xor(e >> 1, 3988292384 * (e & 1)))))) AS crc FROM nation""")
 def crc32_names(spark, d):
     return table(spark, d, "nation").select("n_name", S.crc32_hex(F.encode("n_name", "utf-8")).alias("crc"))
 
@@ -487,7 +567,59 @@ def _state_of(spark, d, name: str, columns: list[str], budget: int, layout_id: i
 
 
 def _lineitem(spark, d, budget: int = S.BUDGETS["static"]) -> api.Built:
-    return _state_of(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"], budget)
+    return _state_of(spark, d, "lineitem", LINEITEM, budget)
+
+
+@query()
+def settle_trace(spark, d):
+    """Mean speed, diagonal and quiet run of the last steps before the fixpoint."""
+    return settle.step_trace(_lineitem(spark, d).field)
+
+
+@query()
+def layout_report(spark, d):
+    """The readable report of the settled layout: verdict, clusters with their defining columns, outliers."""
+    b = _lineitem(spark, d)
+    positions, gain, _ = api.run(b)
+    k = gain.first()["k"]
+    labels = scoring.kmeans_clusters(positions, ["x", "y"], k, analysis.ANALYSIS_SEED) if k else positions.select("row_idx", F.lit(0).alias("cluster")).limit(0)
+    named = b.features.select("row_idx", *[F.col(f"raw_{i}").alias(c) for i, c in enumerate(b.columns)])
+    return analysis.full_report(analysis.cluster_summary(named.join(labels, "row_idx"), "cluster", b.columns), gain, analysis.outliers(positions, "row_idx", ["x", "y"]))
+
+
+_V = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform(list_zip(v, list_reverse(v)), lambda z: z[1] * z[2])), 4) + 0.0 AS dotted, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS length,
+  round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) + 0.0 AS first, round(list_sum(v), 4) + 0.0 AS row_sum FROM (SELECT vec_id, {_V} AS v FROM embeddings)""")
+def vector_operations(spark, d):
+    t = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    ones = F.array(F.transform("v", lambda x: F.lit(1.0)))
+    return t.select("vec_id", r6(S.dot(F.col("v"), F.reverse("v")), "dotted", 4), r6(S.norm(F.col("v")), "length", 4), r6(S.normalised(F.col("v"))[0], "first", 4), r6(S.mat_vec(ones, F.col("v"))[0], "row_sum", 4))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT (n_nationkey, n_name, n_regionkey)) AS n_streams FROM nation")
+def row_streams(spark, d):
+    """Rows of other content have other streams, equal ones the same."""
+    t = table(spark, d, "nation")
+    return t.agg(F.count("*").alias("n_rows"), F.count_distinct(S.row_stream("n_nationkey", "n_name", "n_regionkey")).alias("n_streams"))
+
+
+@query("""SELECT * FROM (VALUES ('palmer-penguins', 'Palmer Penguins (real data)', 'supplied'), ('blobs-3-known', '3 known clusters (synthetic)', 'generated'), ('uncorrelated-random', 'Uncorrelated noise (synthetic)', 'generated')) AS t(id, label, origin)""")
+def dataset_catalogue(spark, d):
+    return generators.catalogue(spark).select("id", "label", "origin")
+
+
+def _orders(spark, d) -> api.Outcome:
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_totalprice", "o_orderpriority")
+    return api.Outcome("ready", t, profile.mapping(t.drop("row_idx")))
+
+
+@query(f"""WITH s AS (SELECT o.* FROM orders o JOIN ({ORACLES['stratified_sample_orders']}) k USING (o_orderkey)), e AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code, count(*) OVER () AS k FROM s GROUP BY 1)
+  SELECT o_orderkey AS row_idx, round(0.5 + 1.5 * {Q.rank('o_totalprice')}, 6) AS mass, round(2.0 * code / (k - 1.0) - 1, 6) + 0.0 AS charge FROM s JOIN e ON o_orderpriority = v""")
+def sampled_field_orders(spark, d):
+    """Rows are sampled to the budget first; ranks and codes are those of the rows shown."""
+    return api.build(_orders(spark, d), budget=500, seed=11).field.select("row_idx", r6("mass", "mass"), r6("charge", "charge"))
 
 
 @query()
@@ -520,12 +652,20 @@ def layout_image(spark, d):
     """One PNG of the settled layout with its settings inside."""
     b = _lineitem(spark, d)
     p = settle.settle(b.field).persist()
-    screen = export.coloured(layout.to_screen(p, layout.viewport(p, 640, 480)), F.col("row_idx"))
+    odd = analysis.outliers(p, "row_idx", ["x", "y"]).select("row_idx", F.lit(True).alias("odd"))
+    hue = b.field.select("row_idx", F.dense_rank().over(Window.partitionBy("layout_id").orderBy("charge")).alias("hue"))  # a row budget at most
+    shown = layout.to_screen(p, layout.viewport(p, 640, 480)).join(odd, "row_idx", "left").join(hue, "row_idx")
+    screen = export.coloured(shown, F.col("hue") - 1 if b.stratum else None, F.col("odd"))
     meta = export.metadata_json(F.lit(api.SEED), F.col("step"), F.col("converged"), F.col("unstable"), F.lit(b.shown), F.array(*map(F.lit, b.columns)))
     return export.images(screen.withColumn("metadata", meta), 640, 480)
 
 
-@query(ORACLES["convergence_run_length"].replace("SELECT layout_id, step, n -", "SELECT layout_id, CAST(step AS INTEGER) AS step, n -"))
+_LAST30 = "SELECT t.*, (SELECT CASE WHEN count(*) = 30 THEN avg(speed) END FROM t AS u WHERE u.layout_id = t.layout_id AND u.place > t.place - 30 AND u.place <= t.place) AS ma FROM t"
+
+
+@query(f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY layout_id ORDER BY step) AS place FROM ({_TRACE})), c AS (SELECT *, ma IS NOT NULL AND ma < 0.0015 * greatest(diagonal, 1.0) AS calm FROM ({_LAST30})),
+  g AS (SELECT *, count(*) FILTER (NOT calm) OVER (PARTITION BY layout_id ORDER BY place) AS spell FROM c)
+  SELECT layout_id, CAST(step AS INTEGER) AS step, count(*) FILTER (calm) OVER (PARTITION BY layout_id, spell ORDER BY place) AS quiet_run FROM g""")
 def streaming_convergence(spark, d):
     """The detector as a stateful stream over the trace, written to the shared folder and read back."""
     known = table(spark, d, "events")

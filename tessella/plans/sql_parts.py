@@ -19,7 +19,9 @@ def draws(source: str, keep: str, seed: str, draw: str) -> str:
 
 
 def melted(table: str, columns: list[str]) -> str:
-    return " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS name, nullif(trim(CAST({c} AS VARCHAR)), '') AS value FROM {table}" for i, c in enumerate(columns))
+    """Every cell as text; the blank between date and time of typed timestamps is a T."""
+    text = lambda c: f"CASE WHEN typeof({c}) LIKE 'TIMESTAMP%' THEN replace(CAST({c} AS VARCHAR), ' ', 'T') ELSE CAST({c} AS VARCHAR) END"
+    return " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS name, nullif(trim({text(c)}), '') AS value FROM {table}" for i, c in enumerate(columns))
 
 
 def profiled(table: str, columns: list[str]) -> str:
@@ -68,6 +70,10 @@ PART_STATE = """SELECT p_partkey AS row_idx, ((p_partkey * 37) % 301) - 150.0 +
   (p_size % 3) - 1.0 AS charge, [p_size / 50.0] AS attraction FROM part"""
 
 
+#: The part state at rest, with a viscosity.
+PART_REST = f"SELECT *, 0.0 AS vx, 0.0 AS vy, (row_idx % 4) / 4.0 AS viscosity FROM ({PART_STATE})"
+
+
 def pair_step(state: str, heat: str, near: str = "a.row_idx <> b.row_idx") -> str:
     """(row_idx, ax, ay) of all pairs that meet ``near``, centering included."""
     return f"""SELECT a.row_idx, any_value((coalesce(fx, 0) - 0.02 * a.x) / a.mass) AS ax, any_value((coalesce(fy, 0) - 0.02 * a.y) / a.mass) AS ay FROM ({state}) a LEFT JOIN (

@@ -44,3 +44,25 @@ def ids_only(spark: SparkSession, n: int = 40) -> DataFrame:
         F.concat(F.lit("a-"), (i + 1).cast("string"), F.lit("-"), (1000 + 37 * i).cast("string")).alias("uuid_a"),
         F.concat(F.lit("b-"), (9999 - i).cast("string"), F.lit("-"), (91 * i + 7).cast("string")).alias("uuid_b"),
     )
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """Data sets that come along: id, label, description, and whether rows are generated here or supplied by the caller (a table or CSV of that schema)."""
+    # Fixed values
+    rows = [
+        ("palmer-penguins", "Palmer Penguins (real data)", "342 penguins, 3 species, Palmer Station Antarctica LTER — CC0.", "supplied"),
+        ("blobs-3-known", "3 known clusters (synthetic)", "Synthetic, generated for this demo — 3 seeded Gaussian clusters in 5 dimensions.", "generated"),
+        ("uncorrelated-random", "Uncorrelated noise (synthetic)", "Synthetic, generated for this demo — deliberately structureless, tests the death-condition guard.", "generated"),
+    ]
+    return spark.createDataFrame(rows, "id string, label string, description string, origin string")
+
+
+def load(spark: SparkSession, name: str, supplied: DataFrame | None = None) -> DataFrame:
+    """A data set of the catalogue by id."""
+    if name == "blobs-3-known":
+        return blobs(spark, 1)
+    if name == "uncorrelated-random":
+        return noise(spark, 2)
+    if name == "palmer-penguins" and supplied is not None:
+        return supplied
+    raise ValueError(f"no data set {name!r}, or its rows are not supplied")

@@ -137,3 +137,70 @@ def test_layout_queries_use_the_reference_row_budget(monkeypatch):
     monkeypatch.setattr(reference, "_state_of", lambda spark, d, name, columns, budget, layout_id=0: seen.append((name, budget)))
     reference._lineitem(None, "")
     assert seen == [("lineitem", 2000)]
+
+
+def test_unstable_layouts_keep_the_last_sound_frame():
+    x = np.array([[0.0, 0.0], [1.0, 0.0]])
+    got = settle.run(x, np.array([[np.inf, 0.0], [0.0, 0.0]]), np.ones(2), np.zeros(2), np.zeros(2), np.zeros((2, 1)), layout.Forces(), 10)
+    assert got["unstable"] and not got["converged"] and got["step"] == 1 and (got["x"] == x).all()
+
+
+def test_kernel_forces_equal_the_pair_rule(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, q, a = rng.normal(size=(400, 2)) * 15, rng.integers(0, 3, 400) - 1.0, rng.random((400, 2))
+    x[3] = x[7]
+    want = np.stack(layout.pair_forces(x[:, 0], x[:, 1], q, a, x[:, 0], x[:, 1], q, a, 0.6, layout.Forces()), 1)
+    assert np.allclose(settle.AllPairs(q, a, layout.Forces())(x, 0.6), want, atol=1e-8)
+    monkeypatch.setattr(settle, "KEPT", 10)
+    assert np.allclose(settle.AllPairs(q, a, layout.Forces())(x, 0.6), want, atol=1e-8)
+    near = np.abs(x - np.array([15.0, 15.0])).max(1) < 14.9  # all within one cell, as if alone
+    assert np.allclose(settle.NearCells(q[near], a[near], layout.Forces())(x[near], 0.6), settle.AllPairs(q[near], a[near], layout.Forces())(x[near], 0.6), atol=1e-8)
+
+
+def test_step_trace_ends_at_the_fixpoint(spark):
+    rows = [(0, i, 1.0, 0.0, 0.0, [float(i % 2)], float(i), float(i % 3)) for i in range(12)]
+    state = spark.createDataFrame(rows, "layout_id long, row_idx long, mass double, charge double, viscosity double, attraction array<double>, x double, y double")
+    trace, end = settle.step_trace(state).orderBy("step").collect(), settle.settle(state).first()
+    assert len(trace) == settle.HISTORY and trace[-1]["step"] == end["step"] and trace[-1]["converged"] and trace[-1]["quiet_run"] == settle.DEBOUNCE
+
+
+def test_typed_dates_and_reasons(spark):
+    t = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS a, date'2024-01-02' AS b, timestamp_ntz'2024-01-03 00:00:00.5' AS c")
+    assert [r["inferred_type"] for r in profile.infer_types(t).orderBy("ordinal").collect()] == ["date"] * 3
+    out = api.parse_and_infer(spark, generators.ids_only(spark))
+    assert out.message.count("only as a row label") == 2 and out.seen_columns[0]["reason"].startswith("high-cardinality")
+
+
+def test_row_numbers_do_not_depend_on_partitions(spark):
+    t = spark.createDataFrame([("x", 1)] * 700 + [("y", None)] * 3 + [(None, 1)], "a string, b int")
+    one, other = (sorted(map(tuple, api.with_row_number(d, chunk=64).collect()), key=repr) for d in (t.coalesce(1), t.repartition(7)))
+    assert one == other and len({r[0] for r in one}) == 704
+
+
+def test_rows_are_sampled_before_they_are_encoded(spark):
+    t = spark.range(400).select(F.col("id").alias("row_idx"), F.col("id").cast("double").alias("v"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("g"))
+    built = api.build(api.parse_and_infer(spark, t), budget=40)
+    field = built.field.collect()
+    assert built.sampled and len(field) == 40 and min(r["mass"] for r in field) == 0.5 and max(r["mass"] for r in field) == 2.0
+
+
+def test_texts_of_the_report(spark):
+    line = lambda n: spark.range(n).select(F.col("id").alias("i"))
+    assert analysis.outlier_text(line(0), "i").first()[0].startswith("No outliers") and analysis.outlier_text(line(1), "i").first()[0] == "1 outlier row: row 1."
+    assert analysis.outlier_text(line(25), "i").first()[0].endswith("row 20, ….")
+    assert [r[0] for r in spark.createDataFrame([(2.0, 2.0), (1.5, 3.0)], "a double, b double").select(S.range_text(F.col("a"), F.col("b"))).collect()] == ["2", "1.50–3"]
+
+
+def test_outliers_have_a_ring():
+    png = export.raster(np.array([20.0]), np.array([20.0]), ["#ff0000"], 40, 40, alpha=np.array([1.0]), rings=["#00ff00"])
+    at = png.index(b"IDAT")
+    body = zlib.decompress(png[at + 4:at + 4 + int.from_bytes(png[at - 4:at], "big")])
+    pixel = lambda x, y: body[y * 121 + 1 + 3 * x:y * 121 + 4 + 3 * x]
+    assert pixel(20, 20) == b"\xff\0\0" and pixel(26, 20) == b"\0\xff\0" and pixel(0, 0) == bytes.fromhex(export.GROUND[1:])
+
+
+def test_catalogue(spark):
+    known = {r["id"] for r in generators.catalogue(spark).collect()}
+    assert known == {"palmer-penguins", "blobs-3-known", "uncorrelated-random"} and generators.load(spark, "blobs-3-known").count() == 180
+    with pytest.raises(ValueError):
+        generators.load(spark, "palmer-penguins")
