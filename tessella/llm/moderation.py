@@ -53,7 +53,7 @@ LEXICON = {
     "dehuman": "vermin cockroach cockroaches rat rats parasites subhuman subhumans animals savages savage trash filth plague disease thieves scum infestation invaders invasion ungeziefer untermenschen vermine racaille escoria plaga basura ratas abschaum gesindel sous-hommes parasiten parasitos cafards",
     "expel": "deport deported exterminate exterminated eradicate camps outnumber hater worshippers migrants immigrants foreigners refugees gejagt chasser dehors echarlos fuera raus auslander migranten extranjeros etrangers inmigrantes hire hires decent breed invade",
     "sexual": "naked nude nudes porn porno sex sexy xxx pussy cock dick tits boobs nipples clit cum cumming orgasm erection masturbate masturbates blowjob blowjobs anal milf horny escorts slut sluts moaned moaning licked sucked sucking squirted undressed undressing jerked penis vagina uncensored schwanz nackt geil geile stohnte chatte bite sucait baisent salopes nues polla chupo follar desnuda desnudas tetas gimio kissed thrust thighs thigh whispered",
-    "harm": "kill killed bleed throat slit choke choked bullet burn burns stab strangle shoot shot dies dead skull corpse umbringen toten stirb sterben tuer creve creves matar muere mueras pudras suffer beat hang hanged acid knife kneecaps",
+    "harm": "kill killed throat slit choke choked bullet burn burns stab strangle shoot shot dies dead skull corpse umbringen toten stirb sterben tuer creve creves matar muere mueras pudras suffer beat hang hanged acid knife kneecaps",
     "address": "you u your yours you're you'll youre yourself du dich dir dein deine deinen deiner ihr euch tu te ton ta toi vous vosotros vete callate eres ferme halt ya 你 您",
     "person": "he she his her hers him my we us our they them their they're those whoever somebody someone nobody everyone everybody mother wife wives kids people men women man woman examiner attorney inventor lawyer drafter engineer prufer erfinder anwalt examinateur avocat examinador abogado inventeur i'm i'll er sie ihn ihm ihnen sein seine seinen seiner ihre ihren ich mich wir uns il elle ils elles lui leur leurs je moi nous son sa ses el ella ellos ellas le les mi yo nosotros su sus 他 她 彼 俺",
     "cjk": "蠢猪 去死 傻逼 垃圾 混蛋 白痴 滚开 滚蛋 贱人 畜生 操你 他妈 废物 杂种 鸡巴 呻吟 脱光 害虫 赶出 性交 做爱 裸体 淫荡 妓女 婊子 馬鹿 死ね 野郎 クズ クソ バカ 消え 追い ゴミ 害虫 裸に ちん しゃ まん ブス 殺す 奴ら",
@@ -382,7 +382,7 @@ def train(examples: list[tuple[str, str]], corpus: Background = Background(), ro
         formula_ids(levels, at),
     ], 1)
     decay = np.zeros((end, 1))
-    for name, d in {"none": 1.0, "word": 0.02, "pair": 0.06, "class": 0.01, "classes": 0.03, "mark": 0.02, "bias": 0.01, "addressed": 0.02, "person": 0.02, "strong": 0.02, "scene": 0.02, "usual": 0.02, "formula": 0.02, "gram": gram_decay}.items():
+    for name, d in {"none": 1.0, "word": 0.02, "pair": 0.06, "class": 0.01, "classes": 0.03, "mark": 0.02, "bias": 0.01, "addressed": 0.02, "person": 0.02, "strong": 0.02, "scene": 0.02, "usual": 0.02, "formula": 0.004, "gram": gram_decay}.items():
         decay[at[name]:at[name] + {**BLOCKS, "word": base, "pair": len(kept)}[name]] = d
     prior_w, prior_t = np.zeros_like(model.w), np.eye(len(STATES))
     prior_w[at["mark"] + 1, 0] = prior_w[at["bias"], 0] = 1.0
@@ -627,7 +627,7 @@ class Counting:
                 self.repeated[k] += 1  # once a document
 
 
-def corpus_background(df: DataFrame, text: str = "text", watched: frozenset[str] = frozenset(), rate: float = 0.01, share: float = 1e-6, frequent: float = 1e-4) -> Background:
+def corpus_background(df: DataFrame, text: str = "text", watched: frozenset[str] = frozenset(), rate: float = 0.05, share: float = 1e-6, frequent: float = 1e-4) -> Background:
     """Common words: forms in at least ``share`` of all places of which less than ``rate`` share a sentence with a seed word
     other than themselves; those with a share of ``frequent`` stay common even if only bad examples hold them (their part of all
     text is too large for that). Repeated sentences: those with a seed or watched word, by the share of documents that hold them.
