@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.runtime import small, widen
+from tessella.runtime import widen
 
 #: Texts that name no value; compared without punctuation and blanks.
 NO_VALUE = [
@@ -37,8 +37,6 @@ NO_VALUE = [
     "not known", "not recorded", "not specified", "null", "pending", "sp indet", "species indet", "tba", "tbc", "tbd", "undefined",
     "undetermined", "unidentified", "unk", "unknown", "unspecified", "void",
 ]
-#: At most so many frequent values of a categorical field are categories of the mixture.
-CATEGORY_LIMIT = 64
 
 
 def text_missing(c: Column) -> Column:
@@ -60,24 +58,38 @@ def plain_text(c: Column) -> Column:
 
 
 def upper_bounds(df: DataFrame, fields: list[str], reach: float = 3.0) -> dict[str, float | None]:
+    if not fields:
+        return {}
     usable = [F.percentile_approx(F.when(~number_missing(F.col(f), None), F.col(f).cast("double")), 0.95, 1000).alias(f) for f in fields]
     got = df.agg(*usable).first()
     return {f: None if got[f] is None else reach * got[f] for f in fields}
 
 
-def frequent_values(df: DataFrame, name: str, share: float = 0.001) -> dict[str, str]:
-    """Plain values that hold at least ``share`` of the known rows with their usual spelling, most frequent first, at most CATEGORY_LIMIT."""
+def frequent_values(df: DataFrame, name: str) -> dict[str, str]:
+    """Plain values that are categories, with their usual spelling, most frequent first.
+
+    A value is a misspelling, not a category, if it is within two edits of one at least twenty times as frequent; every other
+    value is a category, however rare. Values are compared within blocks that such a pair must share (its first or last two
+    letters), so the work follows the number of distinct values, which the driver holds: a categorical field has few."""
     known = df.where(~text_missing(F.col(name))).select(plain_text(F.col(name)).alias("v"), F.trim(F.col(name)).alias("raw")).groupBy("v", "raw").agg(F.count("*").alias("n"))
     per = known.groupBy("v").agg(F.sum("n").alias("n"), F.min(F.struct(-F.col("n"), F.col("raw")))["raw"].alias("raw"))
-    top = per.orderBy(F.desc("n"), "v").limit(CATEGORY_LIMIT).collect()
-    total = per.agg(F.sum("n")).first()[0] or 0
+    rows = sorted(((r["v"], r["n"], r["raw"]) for r in per.collect()), key=lambda r: (-r[1], r[0]))
     kept: dict[str, str] = {}
-    for r in top:
-        if r["n"] >= max(1, share * total) and not any(0 < _edits(r["v"], k) <= 2 and len(k) > 4 for k in kept):
-            kept[r["v"]] = r["raw"]
+    blocks: dict[str, list[tuple[str, int]]] = {}
+    for v, n, raw in rows:
+        near = [k for at in _ends(v) for k in blocks.get(at, ())] if len(v) > 4 else []
+        if not any(m >= 20 * n and abs(len(k) - len(v)) <= 2 and _edits(v, k) <= 2 for k, m in near):
+            kept[v] = raw
+            for at in _ends(v):
+                blocks.setdefault(at, []).append((v, n))
     return kept
 
 
+def _ends(v: str) -> set[str]:
+    """Blocks of a value: its first two, its last two and its middle letters."""
+    return {f"<{v[:2]}", f"{v[-2:]}>", f"-{v[len(v) // 2:len(v) // 2 + 2]}"}
+
+
 def _edits(a: str, b: str) -> int:
     """Edit distance with swaps of neighbours."""
     prev2: list[int] = []
@@ -196,12 +208,12 @@ class Mixture:
         return Mixture(self.numeric, self.categorical, mass / mass.sum(), mean, cov, cats, [*self.history, float(sums[:, 0].sum())])
 
 
-def prepare(df: DataFrame, numeric: list[str], categorical: list[str], bounds: dict[str, float | None], keys: list[str]) -> DataFrame:
+def prepare(df: DataFrame, numeric: list[str], categorical: list[str], bounds: dict[str, float | None], keys: list[str], counts: frozenset[str] = frozenset()) -> DataFrame:
     """Keys, numbers with missing ones as NaN, and plain texts with missing ones as null."""
     return df.select(
         *keys,
-        *[F.when(number_missing(F.col(f), bounds[f]), F.lit(float("nan"))).otherwise(F.col(f).cast("double")).alias(f"n_{f}") for f in numeric],
-        *[F.when(~text_missing(F.col(f)), plain_text(F.col(f))).alias(f"c_{f}") for f in categorical],
+        *[F.when(number_missing(F.col(f), bounds.get(f), f in counts), F.lit(float("nan"))).otherwise(F.col(f).cast("double")).alias(f"n_{f}") for f in numeric],
+        *[F.when(~text_missing(F.col(f)), F.coalesce(F.nullif(plain_text(F.col(f)), F.lit("")), F.lower(F.trim(F.col(f))))).alias(f"c_{f}") for f in categorical],
     )
 
 
@@ -264,7 +276,7 @@ def fit(prepared: DataFrame, numeric: list[str], categories: dict[str, list[str]
 def predict(prepared: DataFrame, model: Mixture, keys: list[str], key_types: list[str]) -> DataFrame:
     """Per row: the expected value of each number from the row's other fields, and the modal category of each text."""
     numeric, categories = model.numeric, model.categorical
-    schema = ", ".join([*(f"{k} {t}" for k, t in zip(keys, key_types)), *(f"e_{f} double, n_{f} double" for f in numeric), *(f"p_{f} string, k_{f} string" for f in categories)])
+    schema = ", ".join([*(f"{k} {t}" for k, t in zip(keys, key_types)), *(f"e_{f} double, n_{f} double" for f in numeric), *(f"p_{f} string, k_{f} string, g_{f} boolean" for f in categories)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coders = {f: Coder(v) for f, v in categories.items()}
@@ -279,6 +291,7 @@ def predict(prepared: DataFrame, model: Mixture, keys: list[str], key_types: lis
                 out[f"n_{f}"] = x[:, j]
             resp, _ = model.posterior(model.log_density(x, codes))
             for c, (f, values) in enumerate(categories.items()):
+                out[f"g_{f}"] = pdf[f"c_{f}"].isna()  # gone: an odd text is too far from all categories, but present
                 if values:
                     order = np.argsort(np.array(values), kind="stable")
                     best = order[(resp @ model.cats[c])[:, order].argmax(1)]
@@ -286,20 +299,20 @@ def predict(prepared: DataFrame, model: Mixture, keys: list[str], key_types: lis
                     out[f"p_{f}"], out[f"k_{f}"] = names[best], names[codes[:, c]]
                 else:
                     out[f"p_{f}"] = out[f"k_{f}"] = None
-            yield out
+            yield out[[c.split()[0] for c in schema.split(", ")]]
     return prepared.mapInPandas(run, schema)
 
 
-def fill(df: DataFrame, key: str, individual: str, numeric: list[str], targets: list[str], categorical: list[str], category_targets: list[str], prior: float = 1.0, **fit_options) -> DataFrame:
-    """One row per missing value: key, field, the filled number or text, and how it was found.
+def fill(df: DataFrame, key: str, individual: str, numeric: list[str], targets: list[str], categorical: list[str], category_targets: list[str], prior: float = 1.0, counts: frozenset[str] = frozenset(), **fit_options) -> DataFrame:
+    """One row per missing value: key, field, the filled number or text, and how it was found. Of ``counts``, 0 is a value and none is too large.
 
     The individual's rows are pre-aggregated before they are joined; null individuals get keys of
     their own, so they do not meet in one task."""
-    bounds = upper_bounds(df, numeric)
+    bounds = upper_bounds(df, [f for f in numeric if f not in counts])
     spelling = {f: frequent_values(df, f) for f in categorical}
     categories = {f: list(v) for f, v in spelling.items()}
     types = dict(df.dtypes)
-    prepared = widen(prepare(df, numeric, categorical, bounds, [key, individual])).persist()
+    prepared = widen(prepare(df, numeric, categorical, bounds, [key, individual], counts)).persist()
     model = fit(prepared, numeric, categories, **fit_options)
     schema = "row_key long, field_name string, filled_number double, filled_text string, method string, filled boolean"
     if model is None:
@@ -316,7 +329,7 @@ def fill(df: DataFrame, key: str, individual: str, numeric: list[str], targets:
     for f in category_targets:
         counts = rows.where(F.col(f"k_{f}").isNotNull()).groupBy("_who", f"k_{f}").count()
         modes[f] = counts.groupBy("_who").agg(F.min(F.struct(-F.col("count"), F.col(f"k_{f}")))[f"k_{f}"].alias(f"m_{f}"))
-    gone = rows.where(" or ".join([*(f"n_{f} is null or isnan(n_{f})" for f in targets), *(f"k_{f} is null" for f in category_targets)]))
+    gone = rows.where(" or ".join([*(f"n_{f} is null or isnan(n_{f})" for f in targets), *(f"g_{f}" for f in category_targets)]))
     joined = gone.join(per, "_who", "left")
     for m in modes.values():
         joined = joined.join(m, "_who", "left")
@@ -326,7 +339,7 @@ def fill(df: DataFrame, key: str, individual: str, numeric: list[str], targets:
         F.lit(None).cast("string").alias("filled_text"),
         F.when(F.col(f"o_{f}") > 0, "em-mean+individual").otherwise("em-mean").alias("method"),
     )) for f in targets]
-    text = [F.when(F.col(f"k_{f}").isNull(), F.struct(
+    text = [F.when(F.col(f"g_{f}"), F.struct(
         F.lit(f).alias("field_name"), F.lit(None).cast("double").alias("filled_number"),
         F.coalesce(f"m_{f}", f"p_{f}").alias("filled_text"),
         F.when(F.col(f"m_{f}").isNotNull(), "individual").otherwise("em-mode").alias("method"),
@@ -335,37 +348,23 @@ def fill(df: DataFrame, key: str, individual: str, numeric: list[str], targets:
     usual = [x for f in category_targets for v, raw in spelling[f].items() for x in (F.lit(f"{f}\0{v}"), F.lit(raw))]
     if usual:
         fills = fills.withColumn("filled_text", F.coalesce(F.create_map(*usual)[F.concat("field_name", F.lit("\0"), "filled_text")], F.col("filled_text")))
-    # a text too far from all categories is odd but present: only truly missing ones are fills
-    for f in category_targets:
-        odd = prepared.where(F.col(f"c_{f}").isNotNull()).select(F.col(key).alias("_k"))
-        fills = fills.where(F.col("field_name") != f).unionByName(
-            fills.where(F.col("field_name") == f).join(odd, F.col("row_key") == F.col("_k"), "left_anti")
-        )
     return fills
 
 
-def fill_mappings(mappings: DataFrame, data: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing counts come from the data set's own rows (nulls and blanks, as such counts are taken),
-    missing strategies from the most frequent known one of the data set, then of the column, then of all."""
+def fill_mappings(mappings: DataFrame, data: DataFrame, columns: list[str], **fit_options) -> DataFrame:
+    """The same mixture over mappings, whose individual is the data set: expected counts and modal strategies of all missing ones.
+
+    Where the data set's own rows are there, their nulls and blanks (which is how such counts are taken) replace the expected count."""
+    numeric = [c for c in ("missing_count", "ordinal") if c in mappings.columns]
+    categorical = [c for c in ("missing_strategy", "column_name", "inferred_type", "force_role", "normalization") if c in mappings.columns]
+    filled = fill(mappings, "mapping_id", "dataset_id", numeric, ["missing_count"], categorical, ["missing_strategy"], counts=frozenset(numeric), **fit_options)
     per = data.groupBy("dataset_id").agg(*[F.count(F.when(F.trim(F.col(c).cast("string")).isNull() | (F.trim(F.col(c).cast("string")) == ""), True)).alias(c) for c in columns])
     counts = per.unpivot(["dataset_id"], columns, "column_name", "own_count")
-    known = mappings.where(~text_missing(F.col("missing_strategy"))).select("dataset_id", "column_name", F.trim(F.lower("missing_strategy")).alias("s"))
-
-    def mode(*by: str) -> DataFrame:
-        return known.groupBy(*by, "s").count().groupBy(*by).agg(F.min(F.struct(-F.col("count"), F.col("s")))["s"].alias("s_" + "_".join(by or ["all"])))
-
-    no_count = mappings.where(number_missing(F.col("missing_count"), None, zero_is_value=True))
-    number = no_count.join(small(counts), ["dataset_id", "column_name"], "left").select(
-        F.col("mapping_id").alias("row_key"), F.lit("missing_count").alias("field_name"), F.coalesce("own_count", F.lit(0)).cast("double").alias("filled_number"),
-        F.lit(None).cast("string").alias("filled_text"), F.lit("own-rows").alias("method"), F.lit(True).alias("filled"),
-    )
-    no_text = mappings.where(text_missing(F.col("missing_strategy")))
-    overall = mode()
-    text = no_text.join(small(mode("dataset_id")), "dataset_id", "left").join(small(mode("column_name")), "column_name", "left").join(F.broadcast(overall), how="left").select(
-        F.col("mapping_id").alias("row_key"), F.lit("missing_strategy").alias("field_name"), F.lit(None).cast("double").alias("filled_number"),
-        F.coalesce("s_dataset_id", "s_column_name", "s_all").alias("filled_text"), F.lit("own-mappings").alias("method"), F.lit(True).alias("filled"),
-    )
-    return number.unionByName(text)
+    owner = mappings.select(F.col("mapping_id").alias("row_key"), "dataset_id", "column_name")
+    joined = filled.join(owner, "row_key").join(counts, ["dataset_id", "column_name"], "left")
+    own = (F.col("field_name") == "missing_count") & F.col("own_count").isNotNull()
+    number = F.when(own, F.col("own_count").cast("double")).when(F.col("field_name") == "missing_count", F.greatest(F.round("filled_number"), F.lit(0.0)))
+    return joined.select("row_key", "field_name", number.alias("filled_number"), F.lower("filled_text").alias("filled_text"), F.when(own, F.concat("method", F.lit("+own-rows"))).otherwise(F.col("method")).alias("method"), "filled")
 
 
 def fill_observations(penguins: DataFrame, mappings: DataFrame, **options) -> DataFrame:
@@ -374,5 +373,5 @@ def fill_observations(penguins: DataFrame, mappings: DataFrame, **options) -> Da
         penguins, "obs_id", "tag_id", ["bill_length_mm", "bill_depth_mm", "flipper_length_mm", "body_mass_g"], ["bill_length_mm", "body_mass_g"],
         ["species", "island"], ["species"], **options,
     )
-    maps = fill_mappings(mappings, penguins, ["species", "island", "bill_length_mm", "bill_depth_mm", "flipper_length_mm", "body_mass_g"])
+    maps = fill_mappings(mappings, penguins, ["species", "island", "bill_length_mm", "bill_depth_mm", "flipper_length_mm", "body_mass_g"], **options)
     return birds.select(F.lit("penguins").alias("table_name"), "*").unionByName(maps.select(F.lit("column_mappings").alias("table_name"), "*"))

@@ -82,3 +82,23 @@ def test_mappings(spark):
     assert set(got) == {(1, "missing_count"), (2, "missing_count"), (2, "missing_strategy"), (4, "missing_strategy")}
     assert got[1, "missing_count"]["filled_number"] == 2 and got[2, "missing_count"]["filled_number"] == 1
     assert got[4, "missing_strategy"]["filled_text"] == "median-rank"
+
+
+def test_rare_categories_are_categories_and_misspellings_are_not(spark):
+    rows = data(600) + [(900 + i, f"r{i}", 80.0, 10.0, "rare", "x") for i in range(2)] + [(950, "q", 40.0, 120.0, "greeen", "x"), (960, "r0", 80.0, 10.0, None, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert set(M.frequent_values(df, "kind")) == {"red", "green", "blue", "rare"}
+    assert fills(spark, rows)[960, "kind"]["filled_text"] == "rare"
+
+
+def test_many_categories(spark):
+    df = spark.createDataFrame([(f"kind {i * 7919 % 100003:06d} {i}",) for i in range(300)], "kind string")
+    assert len(M.frequent_values(df, "kind")) == 300
+
+
+def test_strategies_without_a_data_set_come_from_the_mixture(spark):
+    rows = [(i, i, "species" if i % 2 else "island", i % 5, "median-rank" if i % 2 else "drop") for i in range(40)] + [(99, 99, "species", None, " ")]
+    maps = spark.createDataFrame(rows, "mapping_id long, dataset_id long, column_name string, missing_count long, missing_strategy string")
+    got = {r["field_name"]: r for r in M.fill_mappings(maps, spark.createDataFrame([], "dataset_id long, species string, island string"), ["species", "island"], components=4).collect()}
+    assert got["missing_strategy"]["filled_text"] == "median-rank" and got["missing_strategy"]["method"] == "em-mode"
+    assert 0 <= got["missing_count"]["filled_number"] <= 4 and got["missing_count"]["method"] == "em-mean"
