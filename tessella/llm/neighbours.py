@@ -271,8 +271,10 @@ def nearest_rows(df: DataFrame, key: str, dims: list[str], k: int = 5, per_list:
     shape = fields + ", found array<long>, far array<double>, more array<int>"
     one = _fresh(queries).groupBy("home", "part").cogroup(members.groupBy("home", "part")).applyInArrow(first, shape).persist()
     asked = one.where(F.size("more") > 0).select("vid", *dims, F.explode("more").alias("list"))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(8)).cast("int"))
-    again = indexed.drop("radius").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    # only lists that are asked are sent again, in as many copies as their queries need tasks
+    need = asked.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).persist()
+    asked = asked.join(small(need), "list").select("vid", *dims, "list", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"))
+    again = indexed.drop("radius").join(small(_fresh(need)), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def second(q: pa.Table, x: pa.Table) -> pa.Table:
         best, dist = index.search(_matrix(q, dims), q.column("vid").to_numpy(), _matrix(x, dims), x.column("vid").to_numpy(), _codes(x, m), x.column("list").to_numpy().astype(np.int64), k)

@@ -12,7 +12,7 @@ capacities of longer items are cut off as full containers of their own before th
 Defined results: an item is split only if it exceeds the capacity, then into full containers and
 one remainder that is packed like an item. Items without tokens (null, empty) are put into a
 container as well and take no room. A null or non-positive capacity gets no containers. Repeated
-container rows are separate containers to fill. Ties go to the smaller key.
+container rows are separate containers to fill, told apart by ``container_copy``. Ties go to the smaller key.
 """
 
 from __future__ import annotations
@@ -29,7 +29,16 @@ from pyspark.sql import functions as F
 MAX_CONTAINERS = 1000
 
 
-def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 4096, slack: float = 0.005) -> np.ndarray:
+# Cost of a token, and of a pair of tokens in one item.
+LINEAR, QUADRATIC = 1.0, 1.0 / 4096
+
+
+def cost_of(n):  # noqa: ANN001, ANN201
+    """Of an item with ``n`` tokens (an array or a column)."""
+    return LINEAR * n + QUADRATIC * n * n
+
+
+def pack(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC, slack: float = 0.005) -> np.ndarray:
     """Container number of each length (all at most ``capacity``, in descending order).
 
     Starts from as many containers as the tokens need. If more than ``slack`` above that are used
@@ -105,24 +114,27 @@ def pack_items(items: DataFrame, containers: DataFrame, key: str = "doc_id", siz
     if len(kinds) > MAX_CONTAINERS:
         raise ValueError(f"more than {MAX_CONTAINERS} containers")
     key_type = dict(items.dtypes)[key]
-    fields = f"container_id int, container_kind string, capacity_tokens int, container_key string, {key} {key_type}, piece_no int, first_token long, n_tokens long"
+    fields = f"container_id int, container_kind string, capacity_tokens int, container_copy int, container_key string, {key} {key_type}, piece_no int, first_token long, n_tokens long, cost double"
     if not kinds:
         return items.sparkSession.createDataFrame([], fields)
     shards = max(1, math.ceil(items.count() / shard_items))
-    choices = F.array(*[F.struct(F.lit(r[0]).cast("int").alias("container_id"), F.lit(r[1]).alias("container_kind"), F.lit(int(r[2])).alias("capacity_tokens")) for r in kinds])
+    kinds = sorted(kinds, key=lambda r: (r[0] is None, r[0] or 0, str(r[1]), r[2]))
+    copy = [sum(o[0] == r[0] for o in kinds[:i]) for i, r in enumerate(kinds)]  # rows of one id are told apart by number
+    choices = F.array(*[F.struct(F.lit(r[0]).cast("int").alias("container_id"), F.lit(r[1]).alias("container_kind"), F.lit(int(r[2])).alias("capacity_tokens"), F.lit(c).alias("container_copy")) for r, c in zip(kinds, copy)])
     each = items.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.explode(choices).alias("c")).select(key, "size", "c.*")
     whole = F.floor(F.col("size") / F.col("capacity_tokens")).cast("int")
     rest = F.col("size") % F.col("capacity_tokens")
     full = (
         each.withColumn("piece_no", F.explode(F.sequence(F.lit(0), whole))).where(F.col("piece_no") < whole)
         .select(
-            "container_id", "container_kind", "capacity_tokens",
+            "container_id", "container_kind", "capacity_tokens", "container_copy",
             F.concat(F.lit("full-"), F.col(key).cast("string"), F.lit("-"), F.col("piece_no").cast("string")).alias("container_key"), key, "piece_no",
             (F.col("piece_no").cast("long") * F.col("capacity_tokens")).alias("first_token"), F.col("capacity_tokens").cast("long").alias("n_tokens"),
+            cost_of(F.col("capacity_tokens").cast("double")).alias("cost"),
         )
     )
     parts = each.where((rest > 0) | (whole == 0)).select(
-        "container_id", "container_kind", "capacity_tokens", F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), key, whole.alias("piece_no"),
+        "container_id", "container_kind", "capacity_tokens", "container_copy", F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), key, whole.alias("piece_no"),
         (whole.cast("long") * F.col("capacity_tokens")).alias("first_token"), rest.cast("long").alias("n_tokens"),
     )
 
@@ -130,15 +142,17 @@ def pack_items(items: DataFrame, containers: DataFrame, key: str = "doc_id", siz
         pdf = pdf.sort_values(["n_tokens", key], ascending=[False, True], kind="stable")
         at = pack(pdf["n_tokens"].to_numpy(), int(pdf["capacity_tokens"].iloc[0]))
         pdf["container_key"] = [f"{s}-{a}" for s, a in zip(pdf["shard"], at)]
-        return pdf[["container_id", "container_kind", "capacity_tokens", "container_key", key, "piece_no", "first_token", "n_tokens"]]
+        pdf["cost"] = cost_of(pdf["n_tokens"].to_numpy(float))
+        return pdf[["container_id", "container_kind", "capacity_tokens", "container_copy", "container_key", key, "piece_no", "first_token", "n_tokens", "cost"]]
 
-    return full.unionByName(parts.groupBy("container_id", "capacity_tokens", "shard").applyInPandas(fill, fields))
+    return full.unionByName(parts.groupBy("container_id", "container_copy", "capacity_tokens", "shard").applyInPandas(fill, fields))
 
 
 def fill_rates(packed: DataFrame) -> DataFrame:
-    """Per kind: containers, pieces, tokens and the share of capacity used."""
-    per = packed.groupBy("container_id", "container_kind", "capacity_tokens", "container_key").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
-    return per.groupBy("container_id", "container_kind", "capacity_tokens").agg(
+    """Per kind and copy: containers, pieces, tokens, the share of capacity used, and how evenly cost is spread over containers."""
+    by = ("container_id", "container_kind", "capacity_tokens", "container_copy")
+    per = packed.groupBy(*by, "container_key").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.sum("cost").alias("c"))
+    return per.groupBy(*by).agg(
         F.count("*").alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("t").alias("n_tokens"),
-        (F.sum("t") / (F.count("*") * F.first("capacity_tokens"))).alias("used_share"),
+        (F.sum("t") / (F.count("*") * F.first("capacity_tokens"))).alias("used_share"), F.avg("c").alias("mean_cost"), F.coalesce(F.stddev_pop("c"), F.lit(0.0)).alias("cost_deviation"), F.max("c").alias("most_cost"),
     )

@@ -2,8 +2,9 @@
 
 A batch of texts becomes one array of code points. Class changes, blanks and contractions give the
 piece boundaries of the byte-level BPE split pattern without running a regular expression. A piece
-is looked up by a 64-bit polynomial hash of its code points taken from running sums; pieces longer
-than ``LONG`` are never hashed but handled as texts.
+is looked up by a 64-bit polynomial hash of its code points taken from running sums; every hit is then
+compared with the piece it stands for, code point by code point, so equal hashes of different pieces do
+no harm. Pieces longer than ``LONG`` are never hashed but handled as texts.
 """
 
 from __future__ import annotations
@@ -145,7 +146,9 @@ class PieceTable:
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.n = 0
         self.hashed: list[int] = []
-        self.long: dict[str, int] = {}
+        self.long: dict[str, int] = {}  # pieces that are looked up by their text: long ones, and those whose hash is another's
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 0  # code points of all pieces, one behind the other
+        self.begins, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _insert(self, h: int, number: int) -> None:
         mask = (1 << self.bits) - 1
@@ -198,13 +201,45 @@ class PieceTable:
             else:
                 for h, k in self.hashed[-len(new):]:
                     self._insert(h, k)
-        for i in long:
+        self._by_text(long, whole, begin, ends, out, new)
+        self._keep(new)
+        clash = self._unequal(points, begin, ends, out)
+        if len(clash):
+            more: list[str] = []
+            self._by_text(clash, whole, begin, ends, out, more)
+            self._keep(more)
+        return out
+
+    def _by_text(self, at: np.ndarray, whole: str, begin: np.ndarray, ends: np.ndarray, out: np.ndarray, new: list[str]) -> None:
+        for i in at:
             text = whole[begin[i]:ends[i]]
             if text not in self.long:
                 self.long[text] = self.n + len(new)
                 new.append(text)
             out[i] = self.long[text]
-        if new:
-            self.n += len(new)
-            self.learn(new)
-        return out
+
+    def _keep(self, new: list[str]) -> None:
+        """Learns new pieces and stores their code points."""
+        if not new:
+            return
+        codes = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(t) for t in new])
+        while self.used + len(codes) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        while self.n + len(new) > len(self.begins):
+            self.begins, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.lengths))
+        self.store[self.used:self.used + len(codes)] = codes
+        self.begins[self.n:self.n + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[self.n:self.n + len(new)] = sizes
+        self.used += len(codes)
+        self.n += len(new)
+        self.learn(new)
+
+    def _unequal(self, points: np.ndarray, begin: np.ndarray, ends: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Pieces that differ from what their number stands for."""
+        sizes = ends - begin
+        where = np.repeat(self.begins[out] - begin, sizes)
+        where += np.arange(begin[0], len(points))
+        np.minimum(where, len(self.store) - 1, out=where)
+        differs = np.logical_or.reduceat(self.store[where] != points[begin[0]:], begin - begin[0])
+        return np.flatnonzero(differs | (self.lengths[out] != sizes))

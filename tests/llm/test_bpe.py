@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -46,3 +47,18 @@ def test_dataframe_and_empty_table(spark, both):
     got = {r["doc_id"]: r["ids"] for r in bpe.encode_texts(df).collect()}
     assert got[1] == got[4] == both[1].encode_ordinary("hello world") and got[2] == got[3] == []
     assert bpe.encode_texts(df.limit(0)).count() == 0 and bpe.count_tokens(df).where("doc_id = 1").first()["n_tokens"] == 2
+
+
+def test_equal_hashes_of_different_pieces_do_no_harm(monkeypatch):
+    import pyarrow as pa
+
+    from tessella.llm import pieces
+
+    monkeypatch.setattr(pieces, "piece_hashes", lambda points, begin: np.full(len(begin), 7, np.uint64) + (np.arange(len(begin)) % 2).astype(np.uint64) * np.uint64(1 << 63))
+    known: list[str] = []
+    table = pieces.PieceTable(known.extend, known.clear)
+    for text in ("the valve and the seat", "a seat and a valve, the seat", "x" * 400 + " the end"):
+        for whole, points, starts in pieces.chunks(pa.array([text])):
+            begin = pieces.piece_starts(points, starts)
+            numbers = table.numbers(whole, points, begin)
+            assert [known[k] for k in numbers] == [whole[a:b] for a, b in zip(begin, np.append(begin[1:], len(points)))]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from tessella.llm import packing
 
@@ -38,3 +39,12 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, n_tokens long")
     assert packing.pack_items(none, spark.createDataFrame([(1, "a", 100)], CONTAINERS)).count() == 0
     assert packing.pack_items(none, spark.createDataFrame([], CONTAINERS)).count() == 0
+
+
+def test_repeated_container_rows_are_filled_apart(spark):
+    items = spark.createDataFrame([(i, 30 + i) for i in range(20)], "doc_id long, n_tokens long")
+    got = packing.pack_items(items, spark.createDataFrame([(1, "a", 100), (1, "a", 100), (None, "b", 100)], CONTAINERS)).toPandas()
+    assert sorted(got.groupby(["container_id", "container_copy"], dropna=False).doc_id.nunique()) == [20, 20, 20]
+    assert got.groupby(["container_id", "container_copy", "container_key"], dropna=False).n_tokens.sum().max() <= 100
+    rates = packing.fill_rates(packing.pack_items(items, spark.createDataFrame([(1, "a", 100)], CONTAINERS))).first()
+    assert rates["most_cost"] >= rates["mean_cost"] > 0 and got.cost.sum() == pytest.approx(3 * packing.cost_of(np.arange(30, 50).astype(float)).sum())
