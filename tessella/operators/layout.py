@@ -9,12 +9,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators.normalize import MISSING, encode_categorical, minmax_norm, rank_norm
 from tessella.operators.pairs import block_pairs
+from tessella.runtime import parallelism, small
 
 
 @dataclass(frozen=True)
@@ -137,35 +139,141 @@ def pair_acceleration(state: DataFrame, heat: float, forces: Forces = Forces(),
     return pulled.select("row_idx", *[((F.col(f"f{c}") - forces.centering * F.col(c)) / F.col("mass")).alias(f"a{c}") for c in "xy"])
 
 
-def pair_push(a: str, b: str, heat: float, f: Forces, dims: int | None = None) -> tuple[Column, Column]:
-    """The same force as a column expression over two joined rows; a known number of dimensions keeps it in generated code."""
-    dx, dy = F.col(f"{a}.x") - F.col(f"{b}.x"), F.col(f"{a}.y") - F.col(f"{b}.y")
-    r2 = dx * dx + dy * dy
-    r = F.greatest(F.sqrt(r2), F.lit(1e-6))
-    gap = F.abs(F.col(f"{a}.charge") - F.col(f"{b}.charge"))
-    if dims is None:
-        unlike = S.dissimilarity(F.col(f"{a}.attraction"), F.col(f"{b}.attraction"))
+#: Rows of a tile and of a block of one grid cell; what a tile needs stays in the CPU's cache.
+TILE, CELL_BLOCK = 256, 16_384
+_REACH = 200.0
+
+
+class Block:
+    """Rows that meet another block: sorted by charge and attraction and cut so that tiles are alike in both where values repeat."""
+
+    def __init__(self, x: np.ndarray, charge: np.ndarray, attraction: np.ndarray):
+        self.order = np.lexsort((*attraction.T[::-1], charge))
+        self.x, self.charge, self.attraction = x[self.order], charge[self.order], attraction[self.order]
+        profile = np.column_stack([self.charge, self.attraction])
+        starts = np.flatnonzero(np.concatenate([[True], (profile[1:] != profile[:-1]).any(1)])) if len(x) else np.zeros(0, int)
+        if len(starts) * TILE > 2 * len(x):  # short runs: only charges are told apart, if there are few
+            starts = np.flatnonzero(np.concatenate([[True], self.charge[1:] != self.charge[:-1]]))
+            if len(starts) * TILE > 2 * len(x) + 16 * TILE:
+                starts = np.zeros(1, int)
+        self.tiles = [slice(s, min(s + TILE, z)) for a, z in zip(starts, np.append(starts[1:], len(x))) for s in range(a, z, TILE)]
+
+
+def tile_terms(a: Block, b: Block, i: slice, j: slice, heat: float, f: Forces) -> tuple[np.ndarray | float, np.ndarray | float]:
+    """As ``pair_terms`` times the heat, but a single number where it is the same for the whole tile."""
+    ca, cb = a.charge[i], b.charge[j]
+    if f.charge and ca[0] == ca[-1] and cb[0] == cb[-1]:
+        gap = abs(ca[0] - cb[0])
+        near = (-f.same_charge if gap == 0 else max(gap, f.least_charge)) * f.charge * heat
     else:
-        gaps = [F.col(f"{a}.attraction")[i] - F.col(f"{b}.attraction")[i] for i in range(dims)]
-        unlike = F.sqrt(sum((g * g for g in gaps), F.lit(0.0)) / dims) if dims else F.lit(0.0)
-    push = -f.attraction * heat * (r - f.rest_length * unlike)
-    push += F.when(gap == 0, -f.same_charge).otherwise(F.greatest(gap, F.lit(f.least_charge))) * (f.charge * heat) / (r2 + 1)
-    near = F.greatest((f.collision_radius - r) / f.collision_radius, F.lit(0.0))
-    push += f.collision * near * near
-    return dx * push / r, dy * push / r
-
-
-def grid_acceleration(state: DataFrame, heat: float, forces: Forces = Forces(), dims: int | None = None) -> DataFrame:
-    """(row_idx, ax, ay) from rows in the 3 x 3 cells around, by an equi-join on the cell; farther pairs do not act."""
-    gx, gy = S.grid_coordinate(F.col("x")), S.grid_coordinate(F.col("y"))
-    at = state.withColumn("_gx", gx).withColumn("_gy", gy)
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    around = F.filter(F.flatten(F.transform(steps, lambda dy: F.transform(steps, lambda dx: F.when(
-        (F.col("_gx") + dx).between(0, S.GRID_SIDE - 1) & (F.col("_gy") + dy).between(0, S.GRID_SIDE - 1), (F.col("_gy") + dy) * S.GRID_SIDE + F.col("_gx") + dx)))), lambda c: c.isNotNull())
-    a = at.withColumn("_cell", F.explode(around)).alias("a")
-    b = at.select(*[F.col(c).alias(c) for c in ("row_idx", "x", "y", "charge", "attraction")], (F.col("_gy") * S.GRID_SIDE + F.col("_gx")).alias("_cell")).alias("b")
-    fx, fy = pair_push("a", "b", heat, forces, dims)
-    total = a.join(b, (F.col("a._cell") == F.col("b._cell")) & (F.col("a.row_idx") != F.col("b.row_idx"))).groupBy(F.col("a.row_idx").alias("row_idx")).agg(F.sum(fx).alias("fx"), F.sum(fy).alias("fy"))
+        near = pair_terms(ca, np.zeros((len(ca), 0)), cb, np.zeros((len(cb), 0)), f)[1] * heat if f.charge else 0.0
+    xa, xb, dims = a.attraction[i], b.attraction[j], a.attraction.shape[1]
+    if not f.attraction or not dims:
+        return 0.0, near
+    scale = f.attraction * f.rest_length * heat
+    if (xa == xa[0]).all() and (xb == xb[0]).all():
+        return float(np.sqrt(((xa[0] - xb[0]) ** 2).sum() / dims)) * scale, near
+    if dims == 1:
+        far = np.subtract.outer(xa[:, 0] * scale, xb[:, 0] * scale)
+        return np.abs(far, out=far), near
+    return pair_terms(ca, xa, cb, xb, Forces(attraction=f.attraction, rest_length=f.rest_length * heat, charge=0.0))[0], near
+
+
+def block_forces(a: Block, b: Block, heat: float, f: Forces) -> tuple[np.ndarray, np.ndarray]:
+    """Forces on the rows of both blocks (in their given order), before division by mass; ``a`` itself as ``b`` gives them once, in the first.
+
+    Each pair is visited once for both ends. The part of the attraction that is linear in distance needs no pairs."""
+    same = a is b
+    sums = np.zeros((len(a.x), 3)), np.zeros((len(b.x), 3))
+    near2, room = f.collision_radius**2, [np.empty(TILE * TILE) for _ in range(3)]
+    middle = a.x.mean(0) if len(a.x) else np.zeros(2)
+    p, q = a.x - middle, b.x - middle
+    short = len(p) and len(q) and max(np.abs(p).max(), np.abs(q).max()) < _REACH  # else the product would lose digits
+    left = np.column_stack([p, (p * p).sum(1), np.ones(len(p))])
+    right = np.ascontiguousarray(np.column_stack([-2 * q, np.ones(len(q)), (q * q).sum(1)]).T)
+    ends = np.column_stack([p, np.ones(len(p))]), np.column_stack([q, np.ones(len(q))])
+    for n, i in enumerate(a.tiles):
+        for j in b.tiles[n:] if same else b.tiles:
+            shape = i.stop - i.start, j.stop - j.start
+            r2, t, w = (m[:shape[0] * shape[1]].reshape(shape) for m in room)
+            if short:
+                np.matmul(left[i], right[:, j], out=r2)
+            else:
+                np.subtract(p[i, 0][:, None], q[j, 0], out=r2)
+                np.multiply(r2, r2, out=r2)
+                np.subtract(p[i, 1][:, None], q[j, 1], out=t)
+                np.multiply(t, t, out=t)
+                r2 += t
+            far, near = tile_terms(a, b, i, j, heat, f)
+            at = np.flatnonzero(r2 < near2 + 1e-6)
+            if len(at):
+                row, col = np.divmod(at, shape[1])
+                close = ((p[i][row] - q[j][col]) ** 2).sum(1)
+                r2.ravel()[at] = 1.0
+            np.sqrt(r2, out=t)
+            r2 += 1.0
+            np.multiply(r2, far, out=w)
+            w += near
+            r2 *= t
+            w /= r2
+            if len(at):
+                r = np.maximum(np.sqrt(close), 1e-6)
+                gap = np.maximum((f.collision_radius - r) / f.collision_radius, 0.0)
+                pick = lambda v: v if np.isscalar(v) else v[row, col]
+                push = pick(near) / (close + 1) + pick(far) + f.collision * gap * gap
+                w.ravel()[at] = np.where(close == 0, 0.0, push / r)  # a row and itself, or coincident rows
+            sums[0][i] += w @ ends[1][j]
+            if not same or j.start > i.start:
+                sums[1][j] += w.T @ ends[0][i]
+    out = []
+    if same:
+        sums = (sums[0] + sums[1],)
+    for own, other, total, back in ((p, q, sums[0], a.order), (q, p, sums[-1], b.order))[:len(sums)]:
+        force = np.empty_like(own)
+        force[back] = own * total[:, 2:] - total[:, :2] - f.attraction * heat * (len(other) * own - other.sum(0))
+        out.append(force)
+    return out[0], out[-1]
+
+
+def half_around(cell: int) -> list[int]:
+    """The cell and those of its 8 neighbours that come after it, so that each pair of neighbouring cells is named once."""
+    y, x = divmod(cell, S.GRID_SIDE)
+    return [cell] + [v * S.GRID_SIDE + u for v, u in ((y, x + 1), (y + 1, x - 1), (y + 1, x), (y + 1, x + 1)) if u in range(S.GRID_SIDE) and v in range(S.GRID_SIDE)]
+
+
+def grid_acceleration(state: DataFrame, heat: float, forces: Forces = Forces(), dims: int | None = None, block: int = CELL_BLOCK) -> DataFrame:
+    """(row_idx, ax, ay) from rows in the 3 x 3 cells around; farther pairs do not act.
+
+    A cell's rows are dealt into blocks of about ``block`` rows; each two blocks of the same or neighbouring cells meet in one
+    task unit, where each pair is visited once for both ends. Work in a crowded cell is quadratic by nature, memory is not."""
+    at = state.select("row_idx", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "charge")], "attraction", S.grid_cell(F.col("x"), F.col("y")).alias("_cell")).where("_cell is not null")
+    parts = {r["_cell"]: -(-r["count"] // block) for r in at.groupBy("_cell").count().collect()}  # at most 100 cells
+    units = [(c, p, o, q) for c in sorted(parts) for p in range(parts[c]) for o in half_around(c) for q in range(p if o == c else 0, parts.get(o, 0))]
+    if not units:
+        return state.select("row_idx", *[(-forces.centering * F.col(c) / F.col("mass")).alias(f"a{c}") for c in "xy"])
+    spark, schema = state.sparkSession, "_cell int, _part int, _unit int"
+    meet = pd.DataFrame(units, columns=["_cell", "_part", "_cell2", "_part2"]).astype("int32")
+    meet["_unit"] = np.arange(len(meet), dtype=np.int32)
+    apart = meet[(meet["_cell"] != meet["_cell2"]) | (meet["_part"] != meet["_part2"])]  # a block and itself come as one side
+    other = apart[["_cell2", "_part2", "_unit"]].set_axis(["_cell", "_part", "_unit"], axis=1)
+    of = F.create_map(*[F.lit(int(v)) for kv in parts.items() for v in kv])
+    at = at.withColumn("_part", F.pmod(F.xxhash64("row_idx"), of[F.col("_cell")]).cast("int"))
+    width = min(len(units), 4 * parallelism(spark))
+    sides = [t.join(small(spark.createDataFrame(m, schema)), ["_cell", "_part"]).repartition(width, "_unit").groupBy("_unit") for t, m in ((at, meet[["_cell", "_part", "_unit"]]), (at.select([F.col(c).alias(c) for c in at.columns]), other))]
+
+    def rows(t: pa.Table) -> Block:
+        flat = t.column("attraction").combine_chunks()
+        flat = flat.flatten().to_numpy(zero_copy_only=False).astype(float) if t.num_rows else np.zeros(0)
+        wide = dims if dims is not None else len(flat) // max(t.num_rows, 1)
+        return Block(np.column_stack([t.column(c).to_numpy() for c in "xy"]), t.column("charge").to_numpy(), flat.reshape(t.num_rows, wide))
+
+    def unit(a: pa.Table, b: pa.Table) -> pa.Table:
+        one = rows(a)
+        two = rows(b) if b.num_rows else one
+        force = block_forces(one, two, heat, forces)
+        ids, (x, y) = [a.column("row_idx")] + [b.column("row_idx")] * (two is not one), np.concatenate(force[:1 if two is one else 2]).T
+        return pa.table({"row_idx": pa.chunked_array([c for i in ids for c in i.chunks], ids[0].type), "fx": x, "fy": y})
+    total = sides[0].cogroup(sides[1]).applyInArrow(unit, f"row_idx {dict(state.dtypes)['row_idx']}, fx double, fy double").groupBy("row_idx").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
     return state.join(total, "row_idx", "left").select("row_idx", *[((F.coalesce(f"f{c}", F.lit(0.0)) - forces.centering * F.col(c)) / F.col("mass")).alias(f"a{c}") for c in "xy"])
 
 
