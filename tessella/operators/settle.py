@@ -4,7 +4,8 @@ Steps depend on each other, so parallelism is across layouts; inside one, pair f
 tiles of bounded memory. What a pair's force owes to charge and attraction does not change, so it is
 worked out once for layouts of up to ``KEPT`` rows, and each pair is visited once for both ends.
 Above ``GRID_ROWS`` rows only rows of neighbouring grid cells act on each other, so a step is no
-longer quadratic. Rows are put into content order first, so their order in the input does not change
+longer quadratic. A layout of more than ``SPREAD_ROWS`` rows is too much for one task: its steps are
+those of ``layout.step``, spread over the cluster, with the same rules. Rows are put into content order first, so their order in the input does not change
 the result."""
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import GRID_CELL, GRID_SHIFT, GRID_SIDE, HALF_LIFE, SPEED_LIMIT, TEMPERATURE_FLOOR, TIME_STEP
-from tessella.operators.layout import Forces, pair_forces, pair_terms
+from tessella.operators.layout import CELL_BLOCK, Block, Forces, block_forces, half_around, pair_terms
+from tessella.operators.layout import step as spread_step
+from tessella.runtime import checkpoint
 
 # Fixed values of convergence detection.
 WINDOW, DEBOUNCE, STILLNESS, LEAST_DIAGONAL, HISTORY = 30, 45, 0.0015, 1.0, 120
 #: More rows than this meet in grid cells only (fixed value); up to KEPT rows the pair terms stay in memory (2 x 8 bytes a pair).
 GRID_ROWS, KEPT, TILE = 5000, 2500, 256
+#: Above this a step's pairs take one core longer than a step's jobs take a cluster.
+SPREAD_ROWS = 50_000
 STATE = "layout_id long, row_idx long, x double, y double, vx double, vy double, step int, converged boolean, unstable boolean"
 
 
@@ -93,7 +98,7 @@ class AllPairs:
 class NearCells:
     """Forces among rows of the 3 x 3 grid cells around each row's own."""
 
-    def __init__(self, charge: np.ndarray, attraction: np.ndarray, forces: Forces, block: int = 1024):
+    def __init__(self, charge: np.ndarray, attraction: np.ndarray, forces: Forces, block: int = CELL_BLOCK):
         self.charge, self.attraction, self.f, self.block = charge, attraction, forces, block
 
     def __call__(self, x: np.ndarray, heat: float) -> np.ndarray:
@@ -101,19 +106,18 @@ class NearCells:
         number = cell[:, 1] * GRID_SIDE + cell[:, 0]
         order = np.argsort(number, kind="stable")
         edge = np.searchsorted(number[order], np.arange(GRID_SIDE * GRID_SIDE + 1))
+        parts = {int(c): [order[s:min(s + self.block, edge[c + 1])] for s in range(edge[c], edge[c + 1], self.block)] for c in np.flatnonzero(np.diff(edge))}
+        blocks = {c: [Block(x[o], self.charge[o], self.attraction[o]) for o in own] for c, own in parts.items()}
         force = np.zeros_like(x)
-        for c in np.flatnonzero(np.diff(edge)):
-            cy, cx = divmod(int(c), GRID_SIDE)
-            around = [y * GRID_SIDE + z for y in range(max(cy - 1, 0), min(cy + 2, GRID_SIDE)) for z in range(max(cx - 1, 0), min(cx + 2, GRID_SIDE))]
-            other = np.concatenate([order[edge[k]:edge[k + 1]] for k in around])
-            mine = order[edge[c]:edge[c + 1]]
-            for s in range(0, len(mine), self.block):
-                own = mine[s:s + self.block]
-                for t in range(0, len(other), 4 * self.block):
-                    o = other[t:t + 4 * self.block]
-                    fx, fy = pair_forces(x[own, 0], x[own, 1], self.charge[own], self.attraction[own], x[o, 0], x[o, 1], self.charge[o], self.attraction[o], heat, self.f)
-                    force[own, 0] += fx
-                    force[own, 1] += fy
+        for c, own in blocks.items():
+            for p, a in enumerate(own):
+                for o in half_around(c):
+                    for q, b in enumerate(blocks.get(o, [])):
+                        if o != c or q >= p:
+                            fa, fb = block_forces(a, b, heat, self.f)
+                            force[parts[c][p]] += fa
+                            if b is not a:
+                                force[parts[o][q]] += fb
         return force
 
 
@@ -166,7 +170,35 @@ def _at_rest(state: DataFrame) -> DataFrame:
     return state if "vx" in state.columns else state.withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
 
 
-def settle(state: DataFrame, forces: Forces = Forces(), max_steps: int = 8000, edges: DataFrame | None = None, grid_rows: int = GRID_ROWS) -> DataFrame:
+def _divided(state: DataFrame, spread_rows: int) -> tuple[DataFrame, dict]:
+    """The layouts that fit one task, and each larger one with its rows and their number."""
+    state = _at_rest(state).persist()
+    counts = {r["layout_id"]: r["count"] for r in state.groupBy("layout_id").count().where(F.col("count") > spread_rows).collect()}
+    large = {i: (state.where(F.col("layout_id").eqNullSafe(F.lit(i))), n) for i, n in counts.items()}
+    for i in counts:
+        state = state.where(~F.col("layout_id").eqNullSafe(F.lit(i)))
+    return state, large
+
+
+def _spread(state: DataFrame, n: int, forces: Forces, max_steps: int, edges: DataFrame | None = None, grid_rows: int = GRID_ROWS) -> tuple[DataFrame, list]:
+    """STATE and trace of one large layout; every step is a job, whose result is checkpointed to cut the lineage."""
+    detector, trace, step, converged, unstable = Detector(), [], 0, False, False
+    while not converged and not unstable and step < max_steps:
+        moved = checkpoint(spread_step(state, step, forces, edges, grid=n > grid_rows))
+        step += 1
+        sound = sum((F.when(F.abs(F.col(c)) < float("inf"), 0).otherwise(1) for c in ("x", "y", "vx", "vy")), F.lit(0)) == 0
+        got = moved.agg(F.bool_and(sound & ~F.isnan("x") & ~F.isnan("y")).alias("sound"), F.avg(F.hypot("vx", "vy")).alias("speed"), *[(F.max(c) - F.min(c)).alias(c) for c in "xy"]).first()
+        if not got["sound"]:
+            unstable = True  # the last sound frame stays
+            break
+        state, diagonal = moved, float(np.hypot(got["x"], got["y"]))
+        converged = detector.push(got["speed"], diagonal)
+        trace.append((step, got["speed"], diagonal, detector.quiet, converged))
+    flags = [F.lit(step).cast("int").alias("step"), F.lit(converged).alias("converged"), F.lit(unstable).alias("unstable")]
+    return state.select("layout_id", "row_idx", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")], *flags), trace
+
+
+def settle(state: DataFrame, forces: Forces = Forces(), max_steps: int = 8000, edges: DataFrame | None = None, grid_rows: int = GRID_ROWS, spread_rows: int = SPREAD_ROWS) -> DataFrame:
     """``state``: layout_id, row_idx, mass, charge, viscosity, attraction, x, y (and vx, vy). Returns STATE."""
     def one(pdf: pd.DataFrame, links: pd.DataFrame | None = None) -> pd.DataFrame:
         pdf, got = _kernel(pdf, forces, max_steps, links, grid_rows)
@@ -174,20 +206,30 @@ def settle(state: DataFrame, forces: Forces = Forces(), max_steps: int = 8000, e
             "layout_id": pdf["layout_id"].to_numpy(), "row_idx": pdf["row_idx"].to_numpy(), "x": got["x"][:, 0], "y": got["x"][:, 1], "vx": got["v"][:, 0], "vy": got["v"][:, 1],
             "step": np.int32(got["step"]), "converged": got["converged"], "unstable": got["unstable"],
         })
-    state = _at_rest(state)
+    state, large = _divided(state, spread_rows)
     if edges is None:
-        return state.groupBy("layout_id").applyInPandas(lambda pdf: one(pdf), STATE)
-    return state.groupBy("layout_id").cogroup(edges.groupBy("layout_id")).applyInPandas(lambda a, b: one(a, b) if len(a) else pd.DataFrame(columns=[f.split()[0] for f in STATE.split(", ")]), STATE)
+        out = state.groupBy("layout_id").applyInPandas(lambda pdf: one(pdf), STATE)
+    else:
+        out = state.groupBy("layout_id").cogroup(edges.groupBy("layout_id")).applyInPandas(lambda a, b: one(a, b) if len(a) else pd.DataFrame(columns=[f.split()[0] for f in STATE.split(", ")]), STATE)
+    for i, (own, n) in large.items():
+        links = edges.where(F.col("layout_id").eqNullSafe(F.lit(i))) if edges is not None else None
+        out = out.unionByName(_spread(own, n, forces, max_steps, links, grid_rows)[0])
+    return out
 
 
-def step_trace(state: DataFrame, forces: Forces = Forces(), max_steps: int = 8000, last: int | None = HISTORY) -> DataFrame:
+def step_trace(state: DataFrame, forces: Forces = Forces(), max_steps: int = 8000, last: int | None = HISTORY, spread_rows: int = SPREAD_ROWS) -> DataFrame:
     """TRACE of each layout: mean speed, diagonal and quiet run of its ``last`` steps (None: of all). A layout of one row has no steps."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _kernel(pdf, forces, max_steps)[1]["trace"]
         out = pd.DataFrame(rows[-last:] if last else rows, columns=["step", "speed", "diagonal", "quiet_run", "converged"])
         out.insert(0, "layout_id", pdf["layout_id"].iloc[0])
         return out
-    return _at_rest(state).groupBy("layout_id").applyInPandas(one, TRACE)
+    state, large = _divided(state, spread_rows)
+    out = state.groupBy("layout_id").applyInPandas(one, TRACE)
+    for i, (own, n) in large.items():
+        rows = _spread(own, n, forces, max_steps)[1]
+        out = out.unionByName(state.sparkSession.createDataFrame([(i, *r) for r in (rows[-last:] if last else rows)], TRACE))
+    return out
 
 
 def perturb(state: DataFrame, row_idx: int, dx: float, dy: float) -> DataFrame:
