@@ -3,9 +3,9 @@
 Method: equal vectors are taken once (with the smallest ids of their copies). Coarse centroids and
 the codebooks of residuals are fitted on at most ``train_limit`` vectors in hash order; every
 vector is then put into the list of its nearest centroid with its residual's codes. The queries of
-a list meet the members of the ``probes`` nearest lists in one task: asymmetric distance tables
-rank the members by their codes, and the best are reranked by exact distance. If the quantisation
-error leaves the ranking of a query open, its exact distances decide.
+a list meet the members of the ``probes`` nearest lists in one task: asymmetric distances to the
+members' codes bound each query's k-th distance, and every member that the bound and the error of
+the codes leave open is reranked by exact distance.
 
 A second round makes the result whole: the distance from a query to the plane between its centroid
 and another one (or to the other list's ball) bounds the distance to all members of that list, and
@@ -45,7 +45,7 @@ def lloyd(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     else:
         centres = points[rng.choice(len(points), min(k, len(points)), replace=False)].copy()
     for _ in range(rounds):
-        near = nearest(points, centres)[0]
+        near = _codeword(points, centres)
         n = np.bincount(near, minlength=len(centres))
         for j in range(points.shape[1]):
             t = np.bincount(near, points[:, j], minlength=len(centres))
@@ -83,85 +83,106 @@ class Index:
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         residual = x - self.centres[lists]
-        return np.stack([nearest(residual[:, p], b)[0].astype(np.uint8) for p, b in zip(self.parts, self.books)], 1)
+        return np.stack([_codeword(residual[:, p], b).astype(np.uint8) for p, b in zip(self.parts, self.books)], 1)
 
     def decode(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
         return self.centres[lists] + np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
 
-    def ranking(self, q: np.ndarray, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances of queries to members (sorted by list), from one table per list and sub-space."""
-        out = np.zeros((len(q), len(codes)), np.float32)
-        edge = np.flatnonzero(np.diff(lists, prepend=-1, append=-1))
-        for a, b in zip(edge[:-1], edge[1:]):
-            local = q - self.centres[lists[a]]
-            for j, (p, book) in enumerate(zip(self.parts, self.books)):
-                tables = ((local[:, None, p] - book[None]) ** 2).sum(2).astype(np.float32)
-                out[:, a:b] += tables[:, codes[a:b, j]]
-        return out
+    def search(self, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, codes: np.ndarray, lists: np.ndarray, k: int, home: int | None = None, worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the k nearest members other than the query itself (-1: none) and their distances; members are sorted by list.
 
-    def search(self, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, codes: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the k nearest members other than the query itself (-1: none) and their distances."""
-        n, take, coarse = len(x), 4 * k + 28, max(32, len(x) // 32)
+        Asymmetric distances, from queries to members as coded, come from one product a list. Those in the queries' own list ``home``
+        (or ``worst``, where it is known) bound the k-th distance; a member whose code is farther than the bound and its own code error
+        cannot be among the k nearest, all others are reranked by exact distance. Lists that lie behind the bound are left out."""
         best, dist = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
-        if not n:
-            return best, dist
-        whole = n <= take + coarse
-        if not whole:  # the worst-coded members are always reranked, so that the error of the others stays small
-            error = np.sqrt(((x - self.decode(codes, lists)) ** 2).sum(1))
-            worst = np.argpartition(error, n - coarse)[n - coarse:]
-            slack = error[worst].min()
-        step = max(16, 4_000_000 // n)
+        edge = np.flatnonzero(np.diff(lists, prepend=-1, append=-1)) if len(x) else np.zeros(1, int)
+        spans = {int(lists[s]): (s, z) for s, z in zip(edge[:-1], edge[1:])}
+        coded = {}
+        for l, (s, z) in spans.items():
+            local = self.decode(codes[s:z], lists[s:z]) - self.centres[l]
+            error = np.sqrt(((x[s:z] - self.centres[l] - local) ** 2).sum(1)) * (1 + 1e-9)
+            norm = (local * local).sum(1)
+            coded[l] = np.concatenate([-2 * local.T, norm[None]]), np.concatenate([-2 * local.T, (norm - error * error)[None], -2 * error[None]]), error, norm.max()
+
+        def relative(part: np.ndarray, l: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Queries as seen from a list's centroid, their squared norms, and what rounding can make of a distance."""
+            own = part - self.centres[l]
+            norm = (own * own).sum(1)
+            return own, norm, 1e-13 * (norm + coded[l][3])
+        step = max(16, 4_000_000 // max(len(x), 1))
         for s in range(0, len(q), step):
             part, ids = q[s:s + step], q_id[s:s + step]
-            everyone = np.broadcast_to(np.arange(n), (len(part), n))
-            if whole:
-                best[s:s + step], dist[s:s + step] = self._exact(part, ids, x, x_id, everyone, k)
+            bound = np.full(len(part), np.inf) if worst is None else worst[s:s + step].astype(float)
+            if home in spans and worst is None and spans[home][1] - spans[home][0] > k + 1:
+                own, norm, off = relative(part, home)
+                most = np.sqrt(np.maximum(np.column_stack([own, np.ones(len(own))]) @ coded[home][0] + (norm + off)[:, None], 0)) + coded[home][2]
+                bound = np.partition(most, k, axis=1)[:, k]
+            bound = np.minimum(bound * (1 + 1e-9), 1e100)
+            rows, cols = [], []
+            for l, (a, z) in spans.items():
+                at = np.arange(len(part)) if home is None or l == home else np.flatnonzero(self._may_hold(part, home, bound, np.array([l]))[:, 0])
+                if len(at):
+                    own, norm, off = relative(part[at], l)
+                    row, col = np.nonzero(np.column_stack([own, np.ones(len(at)), bound[at]]) @ coded[l][1] <= (bound[at] ** 2 + off - norm)[:, None])  # coded distance within bound and error
+                    rows.append(at[row])
+                    cols.append(col + a)
+            if not rows:
                 continue
-            rough = self.ranking(part, codes, lists)
-            rough[:, worst] = np.inf
-            pick = np.argpartition(rough, take - 1, axis=1)[:, :take]
-            edge = np.take_along_axis(rough, pick, 1).max(1)
-            at, d = self._exact(part, ids, x, x_id, np.concatenate([pick, np.broadcast_to(worst, (len(part), coarse))], 1), k)
-            # members left out are at least this far away
-            open_ = np.flatnonzero(np.sqrt(np.maximum(edge, 0)) * (1 - 1e-5) - slack <= d[:, k - 1])
-            width = max(1, 2_000_000 // n)
-            for i in range(0, len(open_), width):
-                own = open_[i:i + width]
-                at[own], d[own] = self._exact(part[own], ids[own], x, x_id, everyone[own], k)
-            best[s:s + step], dist[s:s + step] = at, d
+            row, col = np.concatenate(rows), np.concatenate(cols)
+            other = x_id[col] != ids[row]
+            row, col = row[other], col[other]
+            d = np.zeros(len(row))
+            for j in range(q.shape[1]):
+                d += (x[col, j] - part[row, j]) ** 2
+            d = np.sqrt(d)
+            order = np.lexsort((x_id[col], d, row))
+            row, col, d = row[order], col[order], d[order]
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row]
+            first = place < k
+            best[s + row[first], place[first]], dist[s + row[first], place[first]] = col[first], d[first]
         return best, dist
 
-    @staticmethod
-    def _exact(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, pick: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        d = np.zeros(pick.shape)
-        for j in range(q.shape[1]):
-            d += (x[pick, j] - q[:, j, None]) ** 2
-        d = np.sqrt(d)
-        ids = x_id[pick]
-        d[ids == q_id[:, None]] = np.inf
-        order = np.lexsort((ids, d), axis=1)[:, :k]
-        at, dist = np.take_along_axis(pick, order, 1), np.take_along_axis(d, order, 1)
-        at = np.where(np.isfinite(dist), at, -1)
-        if at.shape[1] < k:
-            gap = ((0, 0), (0, k - at.shape[1]))
-            at, dist = np.pad(at, gap, constant_values=-1), np.pad(dist, gap, constant_values=np.inf)
-        return at, dist
-
-    def open_lists(self, q: np.ndarray, own: np.ndarray, worst: np.ndarray, searched: np.ndarray) -> list[np.ndarray]:
-        """For each query the lists, other than those searched (lists x lists), that could hold a vector within ``worst``."""
-        out = []
-        norm = (self.centres * self.centres).sum(1)
-        apart = np.sqrt(np.maximum(norm[:, None] - 2 * self.centres @ self.centres.T + norm[None], 1e-24)) if len(self.centres) <= 512 else None
-        for s in range(0, len(q), 1024):
-            part, mine = q[s:s + 1024], own[s:s + 1024]
-            d2 = np.maximum((part * part).sum(1)[:, None] - 2 * part @ self.centres.T + norm[None], 0)
-            gap = apart[mine] if apart is not None else np.sqrt(np.maximum(norm[mine][:, None] - 2 * self.centres[mine] @ self.centres.T + norm[None], 1e-24))
-            bound = np.maximum((d2 - d2[np.arange(len(part)), mine][:, None]) / (2 * gap), np.sqrt(d2) - self.radius[None])
-            row, col = np.nonzero((bound * (1 - 1e-9) - 1e-9 <= worst[s:s + 1024, None]) & ~searched[mine] & (self.count > 0)[None])
-            out += np.split(col, np.searchsorted(row, np.arange(1, len(part))))
+    def _may_hold(self, q: np.ndarray, home: int, worst: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Whether (queries x lists) a list could hold a vector within ``worst``: by the plane between its centroid and ``home``'s, and by its ball."""
+        c = self.centres[lists]
+        gap = np.sqrt(np.maximum(((c - self.centres[home]) ** 2).sum(1), 1e-24))
+        from_home = ((q - self.centres[home]) ** 2).sum(1)
+        away = np.sqrt(from_home)
+        d2 = from_home[:, None] + (gap * gap)[None] - 2 * (q - self.centres[home]) @ (c - self.centres[home]).T
+        limit = (worst * (1 + 1e-8) + 1e-9 * (1 + away))[:, None]
+        slack = 1e-12 * (from_home[:, None] + (gap * gap)[None])
+        return (d2 - slack <= 2 * gap[None] * limit + from_home[:, None]) & (d2 - slack <= (limit + self.radius[lists][None]) ** 2)
+
+    def open_lists(self, q: np.ndarray, home: int, worst: np.ndarray, searched: np.ndarray) -> list[np.ndarray]:
+        """For each query of list ``home`` the lists, other than those ``searched``, that could hold a vector within ``worst``."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        left = self.count > 0
+        left[searched] = False
+        left = np.flatnonzero(left)
+        half = np.sqrt(((self.centres[left] - self.centres[home]) ** 2).sum(1)) / 2
+        near = np.argsort(half, kind="stable")
+        left, half = left[near], half[near]
+        need = (worst + np.sqrt(((q - self.centres[home]) ** 2).sum(1))) * (1 + 1e-7) + 1e-8  # a plane is half its gap from home's centroid
+        order = np.argsort(need, kind="stable")
+        for s in range(0, len(q), 256):  # queries that see alike far
+            at = order[s:s + 256]
+            cols = left[:np.searchsorted(half, need[at[-1]], "right")]
+            if len(cols):
+                row, col = np.nonzero(self._may_hold(q[at], home, worst[at], cols))
+                for i, own in zip(at, np.split(cols[col], np.searchsorted(row, np.arange(1, len(at))))):
+                    out[i] = own
         return out
 
 
+def _codeword(values: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Number of the nearest codeword; by bisection in one dimension."""
+    if book.shape[1] > 1:
+        return nearest(values, book)[0]
+    order = np.argsort(book[:, 0], kind="stable")
+    sorted_ = book[order, 0]
+    return order[np.searchsorted((sorted_[1:] + sorted_[:-1]) / 2, values[:, 0])]
+
+
 def _matrix(t: pa.Table, dims: list[str]) -> np.ndarray:
     return np.stack([t.column(d).to_numpy() for d in dims], 1) if t.num_rows else np.zeros((0, len(dims)))
 
@@ -182,22 +203,22 @@ def _flat(best: np.ndarray, dist: np.ndarray, members: pa.Table, k: int) -> tupl
     ids = members.column("ids").combine_chunks() if members.num_rows else pa.array([], pa.list_(pa.int64()))
     vid = members.column("vid").to_numpy() if members.num_rows else np.zeros(0, np.int64)
     copies = pc.list_value_length(ids).to_numpy(zero_copy_only=False) if members.num_rows else np.zeros(0, int)
-    out_i, out_d = [], []
     if not members.num_rows:
-        out_i = out_d = [np.zeros(0)] * len(best)
-    else:
-        many = (copies[np.maximum(best, 0)] > 1) & (best >= 0)
-        has = many.any(1)
-        for r in range(len(best)):
+        return _lists([np.zeros(0)] * len(best), pa.int64()), _lists([np.zeros(0)] * len(best), pa.float64())
+    kept = best >= 0
+    size = kept.sum(1)
+    out_i, out_d = vid[np.maximum(best, 0)], dist
+    has = ((copies[np.maximum(best, 0)] > 1) & kept).any(1)
+    if has.any():
+        out_i, out_d = out_i.copy(), dist.copy()
+        for r in np.flatnonzero(has):
             own = best[r][best[r] >= 0]
-            if not has[r]:
-                out_i.append(vid[own])
-                out_d.append(dist[r, :len(own)])
-            else:
-                rows = sorted((float(dist[r, c]), i) for c, o in enumerate(own) for i in ids[int(o)].as_py()[:k])[:k]
-                out_i.append(np.array([i for _, i in rows]))
-                out_d.append(np.array([d for d, _ in rows]))
-    return _lists(out_i, pa.int64()), _lists(out_d, pa.float64())
+            rows = sorted((float(dist[r, c]), i) for c, o in enumerate(own) for i in ids[int(o)].as_py()[:k])[:k]
+            size[r] = len(rows)
+            out_i[r, :len(rows)], out_d[r, :len(rows)] = [i for _, i in rows], [d for d, _ in rows]
+    full = np.arange(best.shape[1]) < size[:, None]
+    ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(out_i[full], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(out_d[full], pa.float64()))
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -250,34 +271,28 @@ def nearest_rows(df: DataFrame, key: str, dims: list[str], k: int = 5, per_list:
     block_of = spark.createDataFrame(pd.DataFrame({"list": np.arange(nlist), "blocks": blocks}), "list int, blocks int")
     queries = indexed.join(small(block_of), "list").select(F.col("list").alias("home"), F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("part"), "vid", "ids", *dims)
     members = indexed.drop("radius").join(small(edges), "list")
-    searched_by = {"near": near}
 
     def first(q: pa.Table, x: pa.Table) -> pa.Table:
         order = np.argsort(x.column("list").to_numpy(), kind="stable") if x.num_rows else np.zeros(0, int)
         x = x.take(pa.array(order))
         v, qid = _matrix(q, dims), q.column("vid").to_numpy()
-        best, dist = index.search(v, qid, _matrix(x, dims), x.column("vid").to_numpy(), _codes(x, m), x.column("list").to_numpy().astype(np.int64), k)
+        home = int(q.column("home")[0].as_py()) if q.num_rows else -1
+        best, dist = index.search(v, qid, _matrix(x, dims), x.column("vid").to_numpy(), _codes(x, m), x.column("list").to_numpy().astype(np.int64), k, home)
         ids, d = _flat(best, dist, x, k)
-        home = q.column("home").to_numpy().astype(np.int64)
-        searched = np.zeros((nlist, nlist), bool) if len(q) else None
-        if len(q):
-            for h in np.unique(home):
-                searched[h, searched_by["near"][h]] = True
-            more = _lists([o.astype(np.int32) for o in index.open_lists(v, home, dist[:, k - 1], searched)], pa.int32())
-        else:
-            more = pa.array([], pa.list_(pa.int32()))
+        more = _lists([o.astype(np.int32) for o in index.open_lists(v, home, dist[:, k - 1], near[home])] if len(v) else [], pa.int32())
         return pa.table([q.column("vid"), q.column("ids"), *(q.column(c) for c in dims), ids, d, more], names=["vid", "ids", *dims, "found", "far", "more"])
 
     shape = fields + ", found array<long>, far array<double>, more array<int>"
     one = _fresh(queries).groupBy("home", "part").cogroup(members.groupBy("home", "part")).applyInArrow(first, shape).persist()
-    asked = one.where(F.size("more") > 0).select("vid", *dims, F.explode("more").alias("list"))
+    worst = F.when(F.size("far") < k, float("inf")).otherwise(F.array_max("far")).alias("worst")
+    asked = one.where(F.size("more") > 0).select("vid", *dims, worst, F.explode("more").alias("list"))
     # only lists that are asked are sent again, in as many copies as their queries need tasks
     need = asked.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).persist()
-    asked = asked.join(small(need), "list").select("vid", *dims, "list", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"))
+    asked = asked.join(small(need), "list").select("vid", *dims, "worst", "list", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"))
     again = indexed.drop("radius").join(small(_fresh(need)), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def second(q: pa.Table, x: pa.Table) -> pa.Table:
-        best, dist = index.search(_matrix(q, dims), q.column("vid").to_numpy(), _matrix(x, dims), x.column("vid").to_numpy(), _codes(x, m), x.column("list").to_numpy().astype(np.int64), k)
+        best, dist = index.search(_matrix(q, dims), q.column("vid").to_numpy(), _matrix(x, dims), x.column("vid").to_numpy(), _codes(x, m), x.column("list").to_numpy().astype(np.int64), k, worst=q.column("worst").to_numpy())
         ids, d = _flat(best, dist, x, k)
         return pa.table([q.column("vid"), ids, d], names=["vid", "found", "far"])
 
